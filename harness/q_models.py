@@ -1 +1,188 @@
-"""."""
+"""Scoring, attribution, evaluation and training queries."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from flowtide.functions.columns import round_even
+from flowtide.operators import evaluation as ev
+from flowtide.operators import scoring, training
+from flowtide.operators.cleaning import Preprocessor
+from flowtide.schemas import ATTACK_CLASSES
+from flowtide.sources import models as model_io
+from harness import views as V
+from harness.registry import query
+from harness.sql import on_labelled, on_scores, rnd, unit_value
+
+_NAMES = [c.lower() for c in ATTACK_CLASSES]
+ID = ["flow_id", "start_us"]
+
+
+def scored(spark, sf):
+    return scoring.score(V.records(spark, sf), V.model())
+
+
+def class_probs(df):
+    return df.select(*ID, *[round_even(F.col("probs")[i], 6).alias(f"p_{n}") for i, n in enumerate(_NAMES)])
+
+
+_PROBS = on_scores(f"select flow_id, start_us, {', '.join(f'{rnd(f'p_{n}', 6)} as p_{n}' for n in _NAMES)} from sc")
+
+
+@query("ensemble_score", _PROBS)
+def _score(spark, sf):
+    return class_probs(scored(spark, sf))
+
+
+@query("model_manifest_io", _PROBS)
+def _manifest(spark, sf):
+    path = model_io.save_manifest(spark, V.manifest_rows())
+    return class_probs(scoring.score(V.records(spark, sf), model_io.load_manifest(spark, path)))
+
+
+@query("predict_class", on_scores("select flow_id, start_us, predicted from sc"))
+def _predict(spark, sf):
+    return scored(spark, sf).select(*ID, "predicted")
+
+
+@query("anomaly_prob", on_scores(f"select flow_id, start_us, {rnd('anomaly_prob', 6)} as anomaly_prob from sc"))
+def _anomaly(spark, sf):
+    return scored(spark, sf).select(*ID, round_even(F.col("anomaly_prob"), 6).alias("anomaly_prob"))
+
+
+@query("path_attribution", on_scores(f"""
+select flow_id, start_us, x.feature as feature, {rnd(unit_value('x.units'), 6)} as value
+from (select flow_id, start_us, unnest(effects) as x from sc) where x.units <> 0"""))
+def _attribution(spark, sf):
+    every = scoring.attribute(scored(spark, sf), V.model(), top=36)
+    return every.select(*ID, F.inline("contributors")).filter("value <> 0").withColumn("value", round_even(F.col("value"), 6))
+
+
+@query("top_contributors", on_scores("select flow_id, start_us, " + ", ".join(
+    f"effects[{i}].feature as feature_{i}, {rnd(unit_value(f'effects[{i}].units'), 6)} as value_{i}" for i in (1, 2, 3)
+) + " from sc"))
+def _top(spark, sf):
+    best = scoring.attribute(scored(spark, sf), V.model())
+    cells = [
+        c for i in (0, 1, 2)
+        for c in (F.col("contributors")[i]["feature"].alias(f"feature_{i + 1}"),
+                  round_even(F.col("contributors")[i]["value"], 6).alias(f"value_{i + 1}"))
+    ]
+    return best.select(*ID, *cells)
+
+
+@query("binary_score", on_labelled(f"""
+select id, (p >= 0.5::double)::integer as predicted_label, case when p >= 0.5::double then 'Attack' else 'Normal' end as predicted_class,
+  {rnd("case when p >= 0.5::double then p else 1.0::double - p end", 4)} as confidence, {rnd("p", 4)} as probability_attack,
+  {rnd("1.0::double - p", 4)} as probability_normal, p >= 0.5::double as is_alert, 0.5::double as threshold_used from lf"""))
+def _binary(spark, sf):
+    return scoring.binary_decision(V.scores(spark, sf)).select(
+        "id", "predicted_label", "predicted_class", "confidence", "probability_attack", "probability_normal", "is_alert", "threshold_used"
+    )
+
+
+def _metrics_sql(p: str) -> str:
+    return f"""
+m as (select count(*) filter (label = 0 and {p} < 0.5::double) as tn, count(*) filter (label = 0 and {p} >= 0.5::double) as fp,
+  count(*) filter (label = 1 and {p} < 0.5::double) as fn, count(*) filter (label = 1 and {p} >= 0.5::double) as tp, count(*) as n from lf)"""
+
+
+_RATES = """tn, fp, fn, tp, n as total_samples, (tp + tn)::double / n as accuracy,
+  coalesce(tp::double / nullif(tp + fp, 0), 0) as precision, coalesce(tp::double / nullif(tp + fn, 0), 0) as recall,
+  coalesce((2 * tp)::double / nullif(2 * tp + fp + fn, 0), 0) as f1_score,
+  coalesce(fp::double / nullif(fp + tn, 0), 0) as false_positive_rate, coalesce(fn::double / nullif(fn + tp, 0), 0) as false_negative_rate,
+  0.5::double as threshold_used"""
+
+
+@query("binary_metrics", on_labelled(f"select {_RATES} from m", (_metrics_sql("p"),)))
+def _metrics(spark, sf):
+    return ev.binary_metrics(V.scores(spark, sf))
+
+
+@query("roc_auc", on_labelled("""
+select sum(pos * (2 * below + neg))::double / (2.0::double * sum(pos) * sum(neg)) as roc_auc, sum(pos) as positives, sum(neg) as negatives
+from (select *, coalesce(sum(neg) over (order by p rows between unbounded preceding and 1 preceding), 0) as below
+  from (select p, count(*) filter (label = 1) as pos, count(*) filter (label = 0) as neg from lf group by p))"""))
+def _auc(spark, sf):
+    return ev.roc_auc(V.scores(spark, sf))
+
+
+_OTHER = "case when p >= 0.6::double then attack_cat when p >= 0.3::double then 'Generic' else 'Normal' end"
+
+
+@query("multiclass_metrics", on_labelled(f"""
+select avg((attack_cat = c)::integer) as accuracy, avg(((attack_cat = 'Normal') = (c = 'Normal'))::integer) as binary_accuracy
+from (select *, {_OTHER} as c from lf)"""))
+def _multiclass(spark, sf):
+    rows = V.scores(spark, sf).withColumn("c", F.expr(_OTHER.replace("::double", "D")))
+    return ev.multiclass_metrics(rows, F.col("attack_cat"), F.col("c"))
+
+
+@query("champion", on_labelled("""
+select case when tree >= logistic then 'tree' else 'logistic' end as champion, greatest(tree, logistic) as f1_score from (
+  select 2.0::double * count(*) filter (label = 1 and p >= 0.5::double) / (count(*) filter (label = 1) + count(*) filter (p >= 0.5::double)) as tree,
+    2.0::double * count(*) filter (label = 1 and 1.0::double - p >= 0.5::double)
+      / (count(*) filter (label = 1) + count(*) filter (1.0::double - p >= 0.5::double)) as logistic from lf)"""))
+def _champion(spark, sf):
+    rows = V.scores(spark, sf).withColumn("q", 1.0 - F.col("p"))
+    return ev.champion({"tree": ev.binary_metrics(rows), "logistic": ev.binary_metrics(rows, "q")}, tie="tree")
+
+
+@query("train_val_split", on_labelled("""
+select id, case when ('0x' || substr(md5(id::varchar), 1, 8))::bigint % 100 < 80 then 'train' else 'validation' end as split from lf"""))
+def _split(spark, sf):
+    return ev.train_val_split(V.labelled_flows(spark, sf)).select("id", "split")
+
+
+@query("sample_per_class", on_labelled("""
+select id, label, attack_cat from lf qualify row_number() over (partition by label order by id) <= 3"""))
+def _sample(spark, sf):
+    return ev.sample_per_class(V.labelled_flows(spark, sf)).select("id", "label", "attack_cat")
+
+
+def matrices(spark, sf):
+    """(prepared training rows, prepared test rows, preprocessor)."""
+    train, test = (V.labelled_flows(spark, sf, s) for s in ("train", "test"))
+    prep = Preprocessor.fit(train)
+    keep = ["id", "label", "attack_cat"]
+    return prep.vectors(train, keep), prep.vectors(test, keep), prep
+
+
+def evaluated(model, test):
+    return ev.binary_metrics(model.transform(test).withColumn("p", vector_to_array("probability")[1]))
+
+
+@query("train_logreg")
+def _logreg(spark, sf):
+    train, test, _ = matrices(spark, sf)
+    return evaluated(training.train_logistic(train), test)
+
+
+@query("train_tree")
+def _tree(spark, sf):
+    train, test, _ = matrices(spark, sf)
+    return evaluated(training.train_tree(train), test)
+
+
+@query("train_ensemble")
+def _ensemble(spark, sf):
+    """Fit, export to node rows, and score the test rows with the compiled expressions."""
+    train, test, prep = matrices(spark, sf)
+    forest = training.train_ensemble(train.withColumn("class_index", training.class_index("attack_cat")))
+    names = [f"f{i}" for i in range(len(prep.names))]
+    nodes = training.export_ensemble(spark, forest, names)
+    rows = prep.transform(V.labelled_flows(spark, sf, "test"), ["id", "attack_cat"]).select(
+        "id", "attack_cat", *[F.col("features")[i].alias(n) for i, n in enumerate(names)]
+    )
+    out = scoring.score(rows, scoring.Ensemble.from_table(nodes, features=tuple(names)))
+    return ev.multiclass_metrics(out, F.col("attack_cat"), F.col("predicted"))
+
+
+@query("model_bundle_io")
+def _bundle(spark, sf):
+    """Fit, save, load, and score with the loaded pair of preprocessor and model."""
+    train, test, prep = matrices(spark, sf)
+    path = model_io.save_bundle(spark, prep, training.train_tree(train), "DecisionTreeClassifier")
+    loaded = model_io.load_bundle(spark, path)
+    return evaluated(loaded.model, loaded.preprocessor.vectors(V.labelled_flows(spark, sf, "test"), ["id", "label"]))

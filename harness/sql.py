@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from flowtide.schemas import NUMERIC
-from harness.views import P1, P2, SCORE, labelled_expressions
+from flowtide.schemas import ATTACK_CLASSES, FLOW_FEATURES
+from harness.views import P1, SCORE, labelled_expressions, manifest_rows
 
 
 def rnd(expr: str, digits: int) -> str:
@@ -250,4 +250,61 @@ def on_blocks(final: str, more: tuple[str, ...] = ()) -> str:
     return chain(EVENTS, BLOCKS, *more, final=final)
 
 
-__all__ = ["NUMERIC", "P1", "P2"]
+def _tree_case(rows: list[dict], value) -> str:
+    """Nested CASE over the node rows of a tree; ``value(leaf, path)`` writes a leaf."""
+    nodes = {r["node"]: r for r in rows}
+
+    def at(n: int, path: tuple) -> str:
+        r = nodes[n]
+        if r["probs"] is not None:
+            return value(r, path)
+        f = r["feature"]
+        left, right = at(r["left"], (*path, (f, -1))), at(r["right"], (*path, (f, 3)))
+        return f"case when {f} <= {r['threshold']}::double then {left} else {right} end"
+
+    return at(0, ())
+
+
+def _model_ctes() -> str:
+    rows = manifest_rows()
+    trees = [[r for r in rows if r["tree"] == t] for t in (0, 1, 2)]
+    names = [c.lower() for c in ATTACK_CLASSES]
+    probs = ", ".join(
+        "(" + " + ".join(_tree_case(t, lambda leaf, _, i=i: f"{leaf['probs'][i]}::double") for t in trees) + f") / 3.0::double as p_{n}"
+        for i, n in enumerate(names)
+    )
+    steps = ", ".join(
+        "(" + " + ".join(
+            _tree_case(t, lambda _, path, f=f: str(sum(s for g, s in path if g == f))) for t in trees
+        ) + f") as u_{f}"
+        for f in ("syn_ratio", "rate", "dur")
+    )
+    greatest = "greatest(" + ", ".join(f"p_{n}" for n in names) + ")"
+    predicted = "case " + " ".join(f"when p_{n} = {greatest} then '{c}'" for n, c in zip(names, ATTACK_CLASSES)) + " end"
+    effects = ", ".join(
+        f"{{'size': abs({u}), 'place': {i}, 'feature': '{f}', 'units': {u}}}"
+        for i, f in enumerate(FLOW_FEATURES)
+        for u in [f"u_{f}" if f in ("syn_ratio", "rate", "dur") else "0"]
+    )
+    return f"""
+sc0 as (select *, {probs}, {steps} from rec),
+sc as (select *, {predicted} as predicted, 1.0::double - p_normal as anomaly_prob,
+  list_reverse_sort([{effects}]) as effects from sc0),
+al as (
+  select sha256(flow_id || '|' || "timestamp" || '|' || flow_no) as alert_id, "timestamp", flow_id, src_ip, dst_ip, src_port, dst_port,
+    proto, case when predicted = 'Normal' then 'Generic' else predicted end as attack_cat, {rnd("anomaly_prob", 4)} as anomaly_prob,
+    effects[1].feature as primary_contributing_feature, effects, last_us as created_us,
+    case when anomaly_prob >= 0.95::double then 'CRITICAL' else 'HIGH' end as severity, start_us, flow_no, dur, spkts, service
+  from sc where anomaly_prob >= 0.85::double
+)"""
+
+
+MODEL = _model_ctes()
+
+
+def unit_value(units: str) -> str:
+    return f"({units} * 0.05::double / 3.0::double)"
+
+
+def on_scores(final: str, more: tuple[str, ...] = ()) -> str:
+    return on_records(final, (MODEL, *more))

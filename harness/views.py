@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtide.operators.alerts import threat_alerts
+from flowtide.operators.scoring import Ensemble
+from flowtide.plans.flow_records import flow_records
 from flowtide.schemas import NUMERIC
 
 # Timeouts scaled to the spacing of the test events: (flow, active) in seconds.
@@ -154,3 +157,50 @@ def latencies(spark: SparkSession, sf: str) -> DataFrame:
     return event_columns(spark, sf).select(
         "event_id", "ts_us", "event_type", (F.col("value") / F.lit(1e4)).alias("seconds")
     )
+
+
+# A small hand-written ensemble: (tree, node, feature, threshold, left, right, probs).
+_TREES = [
+    (0, 0, "syn_ratio", 0.4, 1, 2, None),
+    (0, 1, "rate", 1.0, 3, 4, None),
+    (0, 2, "dur", 1.0, 5, 6, None),
+    (0, 3, None, None, None, None, [0.90, 0.02, 0.02, 0.02, 0.02, 0.02]),
+    (0, 4, None, None, None, None, [0.50, 0.10, 0.10, 0.10, 0.10, 0.10]),
+    (0, 5, None, None, None, None, [0.01, 0.95, 0.01, 0.01, 0.01, 0.01]),
+    (0, 6, None, None, None, None, [0.04, 0.20, 0.10, 0.60, 0.03, 0.03]),
+    (1, 0, "rate", 100.0, 1, 2, None),
+    (1, 1, "syn_ratio", 0.6, 3, 4, None),
+    (1, 2, "dur", 0.01, 5, 6, None),
+    (1, 3, None, None, None, None, [0.80, 0.04, 0.04, 0.04, 0.04, 0.04]),
+    (1, 4, None, None, None, None, [0.02, 0.10, 0.10, 0.70, 0.04, 0.04]),
+    (1, 5, None, None, None, None, [0.02, 0.90, 0.02, 0.02, 0.02, 0.02]),
+    (1, 6, None, None, None, None, [0.30, 0.30, 0.10, 0.10, 0.10, 0.10]),
+    (2, 0, "dur", 0.5, 1, 2, None),
+    (2, 1, "syn_ratio", 0.5, 3, 4, None),
+    (2, 2, "syn_ratio", 0.7, 5, 6, None),
+    (2, 3, None, None, None, None, [0.20, 0.20, 0.30, 0.10, 0.10, 0.10]),
+    (2, 4, None, None, None, None, [0.03, 0.90, 0.03, 0.02, 0.01, 0.01]),
+    (2, 5, None, None, None, None, [0.70, 0.06, 0.06, 0.06, 0.06, 0.06]),
+    (2, 6, None, None, None, None, [0.05, 0.10, 0.10, 0.70, 0.03, 0.02]),
+]
+_NODE_FIELDS = ["tree", "node", "feature", "threshold", "left", "right", "probs"]
+
+
+def manifest_rows() -> list[dict]:
+    return [dict(zip(_NODE_FIELDS, r)) for r in _TREES]
+
+
+def model() -> Ensemble:
+    return Ensemble.from_rows(manifest_rows())
+
+
+def records(spark: SparkSession, sf: str, p: tuple[float, float] = P1) -> DataFrame:
+    return flow_records(packets(spark, sf), *p)
+
+
+def alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return threat_alerts(records(spark, sf), model())
+
+
+def created_us() -> Column:
+    return F.unix_micros(F.to_timestamp("timestamp"))
