@@ -1 +1,340 @@
-"""."""
+"""Alert, triage, response and store queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from flowtide.operators import alerts as al
+from flowtide.operators import response as rs
+from flowtide.schemas import EVIDENCE, FLOW_FEATURES, FLOW_IDENTITY
+from flowtide.session import shared_folder
+from flowtide.sources import tables
+from harness import views as V
+from harness.q_flows import RECORD, quoted
+from harness.registry import query
+from harness.sql import (
+    BLOCKS, EVENTS, MODEL, PACKETS, chain, iso, on_alerts, on_blocks, on_labelled, on_packets, on_records, on_scores, rnd,
+)
+
+AT = 1_705_320_000_000_000  # 2024-01-15 12:00 UTC
+
+
+def folder(spark, kind: str) -> str:
+    return f"{shared_folder(spark)}/flowtide/{kind}-{uuid.uuid4().hex}"
+
+
+# --- threat alerts ---------------------------------------------------------------------
+
+
+@query("threat_filter", on_scores(f"select flow_id, start_us, {rnd('anomaly_prob', 6)} as anomaly_prob from sc where anomaly_prob >= 0.85::double"))
+def _filter(spark, sf):
+    from flowtide.functions.columns import round_even
+    from flowtide.operators.scoring import score
+
+    hits = al.threat_filter(score(V.records(spark, sf), V.model()))
+    return hits.select("flow_id", "start_us", round_even(F.col("anomaly_prob"), 6).alias("anomaly_prob"))
+
+
+def _shown(units: str) -> str:
+    return f"cast(round({rnd(f'({units} * 0.05::double / 3.0::double)', 4)} * 1e4) as bigint)"
+
+
+_ATTR = " || ';' || ".join(f"x[{i}]" for i in (1, 2, 3))
+
+
+@query("threat_alert", on_scores(f"""
+select alert_id, "timestamp", flow_id, src_ip, dst_ip, src_port, dst_port, proto, attack_cat, anomaly_prob,
+  primary_contributing_feature, severity, dur as raw_dur, spkts as raw_spkts,
+  {_ATTR} as attributions
+from (select *, list_sort([{", ".join(f"effects[{i}].feature || '=' || {_shown(f'effects[{i}].units')}" for i in (1, 2, 3))}]) as x from al)"""))
+def _alert(spark, sf):
+    entries = F.transform(
+        F.map_entries("attributions"),
+        lambda e: F.concat(e["key"], F.lit("="), F.rint(e["value"] * 1e4).cast("long").cast("string")),
+    )
+    return V.alerts(spark, sf).select(
+        "alert_id", "timestamp", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "attack_cat", "anomaly_prob",
+        "primary_contributing_feature", "severity", F.col("raw_telemetry.dur").alias("raw_dur"),
+        F.col("raw_telemetry.spkts").alias("raw_spkts"), F.array_join(F.array_sort(entries), ";").alias("attributions"),
+    )
+
+
+# --- findings --------------------------------------------------------------------------
+
+_TIER = """case when p < 0.5::double then 'INFORMATIONAL' when p >= 0.9::double then 'CRITICAL' when p >= 0.75::double then 'HIGH'
+  when p >= 0.6::double then 'MEDIUM' else 'LOW' end"""
+
+
+@query("severity_tiers", on_labelled(f"select id, {_TIER} as severity from lf"))
+def _tiers(spark, sf):
+    p = F.col("p")
+    return V.scores(spark, sf).select("id", al.severity_tier(p >= 0.5, p).alias("severity"))
+
+
+@query("evidence_summary", on_labelled(f"select id, {', '.join(EVIDENCE)} from lf"))
+def _evidence(spark, sf):
+    rows = V.scores(spark, sf)
+    return rows.select("id", al.evidence(rows.columns).alias("s")).select("id", "s.*")
+
+
+_NOW = "2024-02-01T00:00:00+00:00"
+
+
+def findings(spark, sf):
+    return al.security_findings(
+        V.scores(spark, sf), model_name="DecisionTreeClassifier", now=F.lit(_NOW), finding_id=F.col("id").cast("string")
+    )
+
+
+@query("security_finding", on_labelled(f"""
+select id::varchar as finding_id, '{_NOW}' as "timestamp", (p >= 0.5::double)::integer as prediction,
+  case when p >= 0.5::double then 'Attack' else 'Normal' end as label, {rnd("p", 4)} as probability_attack,
+  {rnd("case when p >= 0.5::double then p else 1.0::double - p end", 4)} as confidence, p >= 0.5::double as is_alert, {_TIER} as severity,
+  'DecisionTreeClassifier' as model_name, 0.5::double as threshold_used, proto as evidence_proto, rate as evidence_rate from lf"""))
+def _finding(spark, sf):
+    return findings(spark, sf).select(
+        "*", F.col("features_summary.proto").alias("evidence_proto"), F.col("features_summary.rate").alias("evidence_rate")
+    ).drop("features_summary")
+
+
+# --- alert table -----------------------------------------------------------------------
+
+_COLS = ["finding_id", "version", "ts_us", "status", "probability_attack", "severity", "analyst_notes", "features_summary_json"]
+
+
+def current(spark, sf):
+    versions = V.alert_events(spark, sf)
+    stored = versions.filter(F.col("status").isNotNull())
+    return al.upsert(stored, versions.filter(F.col("status").isNull()))
+
+
+@query("alert_upsert", on_alerts(f"select {quoted(_COLS)} from cur"))
+def _upsert(spark, sf):
+    return current(spark, sf).select(*_COLS)
+
+
+@query("alert_lookup", on_alerts(f"select {quoted(_COLS)} from cur where finding_id = '42'"))
+def _lookup(spark, sf):
+    return al.lookup_alert(current(spark, sf), "42").select(*_COLS)
+
+
+@query("alert_list", on_alerts(f"""
+select {quoted(_COLS)} from cur where status = 'Investigating' and severity = 'LOW' order by ts_us desc, finding_id offset 5 limit 20"""))
+def _list(spark, sf):
+    return al.list_alerts(current(spark, sf), "Investigating", "LOW", limit=20, offset=5, newest="ts_us").select(*_COLS)
+
+
+@query("alert_update", on_alerts("""
+select b.finding_id, greatest(b.version, coalesce(u.version, b.version)) as version, coalesce(u.status, b.status) as status,
+  coalesce(u.notes, b.analyst_notes) as analyst_notes, coalesce(u.updated_at, b.updated_at) as updated_at
+from (select *, ts_us as updated_at from av where status in ('New', 'Investigating')
+    qualify row_number() over (partition by finding_id order by version desc) = 1) b
+  left join (select finding_id, max(version) as version, arg_max(status, version) filter (status is not null) as status,
+    arg_max(analyst_notes, version) filter (analyst_notes is not null) as notes, arg_max(ts_us, version) as updated_at
+    from av where status = 'Resolved' or status is null group by finding_id) u using (finding_id)
+""".replace("greatest(b.version, coalesce(u.version, b.version))", "coalesce(u.version, b.version)")))
+def _update(spark, sf):
+    versions = V.alert_events(spark, sf).withColumn("updated_at", F.col("ts_us"))
+    open_ = F.col("status").isin("New", "Investigating")
+    base = al.latest_versions(versions.filter(open_))
+    return al.update_alerts(base, versions.filter(F.col("status").isNull() | ~open_)).select(
+        "finding_id", "version", "status", "analyst_notes", "updated_at"
+    )
+
+
+@query("alert_stats", on_alerts("""
+select count(*) as total_alerts, count(*) filter (status = 'New') as n_new, count(*) filter (status = 'Investigating') as n_investigating,
+  count(*) filter (status = 'Resolved') as n_resolved, count(*) filter (severity in ('CRITICAL', 'HIGH')) as high_priority_count from cur"""))
+def _stats(spark, sf):
+    return al.alert_statistics(current(spark, sf))
+
+
+@query("recent_alerts", on_alerts("""
+select finding_id[1:8] || '...' as id, ts_us as "timestamp", 'Attack' as label, printf('%.1f%%', probability_attack * 100) as confidence,
+  severity, status, coalesce(features_summary_json ->> '$.proto', '-') as proto, coalesce(features_summary_json ->> '$.service', '-') as service
+from cur order by ts_us desc, finding_id limit 10"""))
+def _recent(spark, sf):
+    rows = current(spark, sf).withColumns({"label": F.lit("Attack"), "confidence": F.col("probability_attack")})
+    return al.recent_alerts(rows, newest="ts_us")
+
+
+# --- response --------------------------------------------------------------------------
+
+_SID = """
+sd as (select *, 1000000 + row_number() over (order by "timestamp", flow_id, alert_id) as sid,
+  strftime(make_timestamp(created_us), '%Y-%m-%d %H:%M:%S UTC') as created_at from al),
+sk as (select *, case attack_cat when 'DoS' then 'denial-of-service' when 'Exploits' then 'attempted-admin'
+  when 'Reconnaissance' then 'network-scan' when 'Fuzzers' then 'misc-activity' else 'bad-traffic' end as classtype,
+  case attack_cat when 'DoS' then 'count 50, seconds 5' when 'Reconnaissance' then 'count 20, seconds 10' end as lim,
+  'alert ' || proto || ' ' || src_ip || ' ' || src_port || ' -> ' || dst_ip || ' ' || dst_port || ' ( ' as head from sd)"""
+ORDER = ["timestamp", "flow_id", "alert_id"]
+
+
+def numbered(spark, sf):
+    return rs.assign_sids(V.alerts(spark, sf), ORDER)
+
+
+def rule_time():
+    return F.date_format(F.to_timestamp("timestamp"), "yyyy-MM-dd HH:mm:ss 'UTC'")
+
+
+_RULES = """
+select sid, 1 as rev, engine, rule_text, attack_cat, src_ip as target_ip, created_at from (
+  select *, 'snort3' as engine, head || 'msg:"[flowtide] ' || attack_cat || ' Attack Detected (Root-Cause: ' || primary_contributing_feature
+    || ')"; classtype:' || classtype || '; sid:' || sid || '; rev:1; metadata:created_at ' || created_at || ', confidence '
+    || printf('%.2f', anomaly_prob) || ', engine flowtide_v1' || coalesce('; threshold:type both, track by_src, ' || lim, '') || '; )' as rule_text from sk
+  union all
+  select *, 'suricata', head || 'msg:"[flowtide] ' || attack_cat || ' Anomaly (Attr: ' || primary_contributing_feature
+    || ')"; flow:to_server; classtype:' || classtype || '; sid:' || sid || '; rev:1'
+    || coalesce('; threshold:type threshold, track by_src, ' || lim, '') || '; )' from sk)"""
+
+
+@query("ids_rules", on_scores(_RULES, (_SID,)))
+def _rules(spark, sf):
+    return rs.ids_rules(numbered(spark, sf), rule_time())
+
+
+@query("rule_sid", on_scores("select alert_id, sid from sd", (_SID,)))
+def _sid(spark, sf):
+    return numbered(spark, sf).select("alert_id", "sid")
+
+
+@query("classtype", on_scores("select alert_id, attack_cat, classtype from sk", (_SID,)))
+def _classtype(spark, sf):
+    return V.alerts(spark, sf).select("alert_id", "attack_cat", rs.classtype_of(F.col("attack_cat")).alias("classtype"))
+
+
+@query("rate_threshold", on_packets("""
+select ts_us // 21600000000 * 21600000000 as window_us, src_ip, count(*) as hits from pk group by all having count(*) >= 4"""))
+def _rate(spark, sf):
+    return rs.rate_hits(V.packets(spark, sf), 4, 21_600)
+
+
+@query("block_upsert", on_scores("""
+select src_ip as target_ip, 'nftables' as backend, 'DROP' as action, max(created_us) as created_us, 3600 as ttl_seconds,
+  max(created_us) + 3600000000 as expires_us from al group by src_ip"""))
+def _blocks(spark, sf):
+    return rs.block_entries(V.alerts(spark, sf), V.created_us())
+
+
+_LAST = f"""
+lb as (select * from be where created_us <= {AT} qualify row_number() over (partition by target_ip order by created_us desc, version desc) = 1)"""
+
+
+def _state(op: str) -> str:
+    return on_blocks(f"""select target_ip, ttl_seconds, created_us, created_us + ttl_seconds * 1000000 as expires_us from lb
+where event = 'block' and created_us + ttl_seconds * 1000000 {op} {AT}""", (_LAST,))
+
+
+@query("blocks_asof", _state(">"))
+def _asof(spark, sf):
+    return rs.blocks_at(V.block_events(spark, sf), AT)
+
+
+@query("blocks_expired", _state("<="))
+def _expired(spark, sf):
+    return rs.blocks_expired(V.block_events(spark, sf), AT)
+
+
+@query("blocks_asof_packets", chain(EVENTS, PACKETS, BLOCKS, final="""
+select pkt_id, src_ip, coalesce(event = 'block' and until > ts_us, false) as blocked
+from pk asof left join (select target_ip, created_us, version, event, created_us + coalesce(ttl_seconds, 0) * 1000000 as until from be
+  qualify row_number() over (partition by target_ip, created_us order by version desc) = 1) b
+  on pk.src_ip = b.target_ip and pk.ts_us >= b.created_us"""))
+def _asof_packets(spark, sf):
+    marked = rs.blocked_as_of(V.packets(spark, sf), V.block_events(spark, sf), "ts_us", "pkt_id")
+    return marked.select("pkt_id", "src_ip", "blocked")
+
+
+@query("mitigation_event", on_scores(f"""
+select alert_id, 'THREAT_MITIGATION_ENACTED' as event_type, {iso("created_us")} as "timestamp", src_ip as target_ip, attack_cat as attack_category,
+  'DROP' as action, {iso("created_us + 3600000000")} as expires_at, sid as snort3_sid, sid as suricata_sid from sd""", (_SID,)))
+def _mitigation(spark, sf):
+    return rs.mitigation_events(numbered(spark, sf), V.created_us()).select(
+        F.col("alert.alert_id").alias("alert_id"), "event_type", "timestamp", "target_ip", "attack_category",
+        F.col("firewall_rule.action").alias("action"), F.col("firewall_rule.expires_at").alias("expires_at"),
+        "snort3_sid", "suricata_sid",
+    )
+
+
+# --- stores ----------------------------------------------------------------------------
+
+
+@query("encode_telemetry", on_records("select src_ip as key, count(*) as messages, sum(spkts) as spkts, max(start_us) as last_us from rec group by src_ip"))
+def _encode(spark, sf):
+    messages = tables.encode_telemetry(V.records(spark, sf))
+    number = {n: F.get_json_object("value", f"$.{n}").cast("long") for n in ("spkts", "start_us")}
+    return messages.groupBy("key").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum(number["spkts"]).alias("spkts"), F.max(number["start_us"]).alias("last_us")
+    )
+
+
+@query("decode_telemetry", on_records(f"select {quoted(RECORD)} from rec"))
+def _decode(spark, sf):
+    path = folder(spark, "messages")
+    tables.write_messages(tables.encode_telemetry(V.records(spark, sf).select(*FLOW_IDENTITY, *FLOW_FEATURES)), path)
+    return tables.decode_telemetry(spark.read.schema("key string, value string").json(path))
+
+
+def _stored(spark, sf):
+    versions = current(spark, sf).withColumns(
+        {
+            "timestamp": al.event_time(F.col("ts_us")), "prediction": F.lit(1), "label": F.lit("Attack"),
+            "confidence": F.col("probability_attack"), "is_alert": F.lit(True), "model_name": F.lit("m"),
+            "threshold_used": F.lit(0.5), "updated_at": al.event_time(F.col("ts_us")),
+        }
+    )
+    return versions
+
+
+@query("alert_store_scan", on_alerts("""
+select finding_id, status, severity, coalesce(analyst_notes, '') as analyst_notes,
+  case when status = 'New' then null else features_summary_json ->> '$.proto' end as proto from cur"""))
+def _scan(spark, sf):
+    """Evidence of New alerts is broken on purpose: it must read as empty."""
+    from flowtide.schemas import ALERT
+
+    path = folder(spark, "alerts")
+    broken = F.when(F.col("status") == "New", F.lit("{broken")).otherwise(F.col("features_summary_json"))
+    _stored(spark, sf).withColumn("features_summary_json", broken).select(*ALERT.names).write.parquet(path)
+    return tables.scan_alerts(spark, path).select(
+        "finding_id", "status", "severity", "analyst_notes", F.col("features_summary.proto").alias("proto")
+    )
+
+
+@query("alert_csv_export", on_alerts(f"""
+select finding_id, {iso("ts_us")} as "timestamp", '1' as prediction, 'Attack' as label, probability_attack, severity, status,
+  'm' as model_name, analyst_notes from cur order by ts_us desc, finding_id limit 10000"""))
+def _csv(spark, sf):
+    path = folder(spark, "csv")
+    tables.export_alerts_csv(_stored(spark, sf), path, newest="ts_us")
+    return spark.read.option("header", True).csv(path).withColumn(
+        "probability_attack", F.col("probability_attack").cast("double")
+    ).drop("confidence", "updated_at")
+
+
+@query("rules_append_load", on_scores(f"select rule_text from ({_RULES})", (_SID,)))
+def _append(spark, sf):
+    """Rules appended after a comment line and a blank line, then read back."""
+    path = folder(spark, "rules")
+    notes = V.table(spark, sf, "region").select(
+        F.lit("snort3").alias("engine"), F.when(F.col("r_regionkey") % 2 == 0, "# comment").otherwise("  ").alias("rule_text")
+    )
+    tables.append_rules(notes, path)
+    tables.append_rules(rs.ids_rules(numbered(spark, sf), rule_time()), path)
+    return tables.load_rules(spark, path)
+
+
+@query("alerts_stream_sink", on_alerts("select finding_id, version, status, severity from cur"))
+def _stream_sink(spark, sf):
+    """A stream of alert versions merged batch by batch into the alert table."""
+    from flowtide.streaming.alert_sink import AlertSink
+
+    source = folder(spark, "alert-versions")
+    V.alert_events(spark, sf).repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
+    sink = AlertSink(spark, folder(spark, "alert-table"))
+    sink.run_available(stream)
+    return sink.current().select("finding_id", "version", "status", "severity")
