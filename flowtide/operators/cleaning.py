@@ -25,11 +25,11 @@ MAX_VOCABULARY = 10_000
 
 
 def clean_categoricals(rows: DataFrame) -> DataFrame:
-    """Strip the text columns and name the placeholders; case is kept."""
+    """Strip the text columns and name the placeholders; case is kept. A null reads as "nan", as text."""
     cleaned = {}
     for name in CATEGORICAL:
         if name in rows.columns:
-            value = strip(F.col(name))
+            value = F.coalesce(strip(F.col(name)), F.lit("nan"))
             if name == "service":
                 cleaned[name] = F.when(value.isin("-", ""), "none").otherwise(value)
             else:

@@ -6,8 +6,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,33 +73,47 @@ def _islands(thin: DataFrame, lane: Lane, gap_us: int) -> DataFrame:
     ).drop("_prev_ts", "_prev_end")
 
 
+def _starts_in_order(active_us: int):
+    """Marks for rows that arrive run by run in time order; only the open flow is kept between batches."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, due = 0, False  # start of the open flow; whether the next packet opens a flow
+        for batch in batches:
+            ts = batch.column("ts_us").to_numpy()
+            opens = batch.column("opens").to_numpy(zero_copy_only=False)
+            found: list[int] = []
+            for left, right in pairwise([0, *(np.flatnonzero(opens[1:]) + 1), len(ts)]):
+                at = left
+                if opens[left]:
+                    start, due = ts[at], False
+                while at < right:
+                    if due:
+                        found.append(at)
+                        start, due = ts[at], False
+                    at += int(np.searchsorted(ts[at:right], start + active_us))
+                    due = at < right
+                    at += 1
+            yield batch.take(pa.array(found, pa.int64())).select([*KEY, *ORDER])
+
+    return marks
+
+
 def _active_starts(thin: DataFrame, lane: Lane, gap_us: int, active_us: int) -> DataFrame:
     """First packets of the flows that the active timeout opens, for keys of ordinary size.
 
-    Only runs that last long enough reach Python, with three columns, and each is at most as large as
-    an ordinary key. The loop makes one step per flow, not per packet.
+    Only runs that last long enough reach Python, as Arrow batches in time order. The loop makes one
+    step per flow, not per packet, and holds one batch at a time.
     """
     whole = Window.partitionBy(*KEY, "island")
     long_runs = (
         _islands(thin, lane, gap_us)
         .withColumn("_span", F.max("ts_us").over(whole) - F.min("ts_us").over(whole))
         .filter(F.col("_span") >= active_us)
-        .select(*KEY, "island", *ORDER)
-    )
-
-    def starts(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values(list(ORDER), ignore_index=True)
-        ts = run["ts_us"].to_numpy()
-        at, found = 0, []
-        while True:
-            at = int(np.searchsorted(ts, ts[at] + active_us)) + 1
-            if at >= len(ts):
-                return run.loc[found, [*KEY, *ORDER]]
-            found.append(at)
-
-    return long_runs.groupBy(*KEY, "island").applyInPandas(
-        starts, f"{_KEY_TYPES}, ts_us long, pkt_id long"
+        .select(*KEY, *ORDER, "opens")
     )
+    # Whole keys are in one partition already; the sort puts their runs in order.
+    ordered = long_runs.sortWithinPartitions(*KEY, *ORDER)
+    return ordered.mapInArrow(_starts_in_order(active_us), f"{_KEY_TYPES}, ts_us long, pkt_id long")
 
 
 def _active_starts_hot(

@@ -29,9 +29,10 @@ def scan_labelled_flows(spark: SparkSession, path: str, schema: T.StructType = L
 
 
 def write_labelled_flows(rows: DataFrame, path: str) -> None:
-    rows.write.option("header", True).option("emptyValue", "").option("nullValue", "\\N").option(
-        "ignoreLeadingWhiteSpace", False
-    ).option("ignoreTrailingWhiteSpace", False).csv(path)
+    """The same layout; an empty text is written as a quoted empty field, a null as \\N."""
+    rows.write.option("header", True).option("nullValue", "\\N").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)
 
 
 def encode_telemetry(flows: DataFrame) -> DataFrame:
