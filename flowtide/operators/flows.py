@@ -1,7 +1,8 @@
 """Packets to bidirectional flows.
 
 ``flow_packets`` puts every packet into its flow and adds what depends on packet order;
-``flow_table`` is one aggregate over that. Both run on a single exchange on the flow key.
+``flow_measures`` is one aggregate over that. Both run on one exchange of the packets on the flow key,
+next to a thin one that finds where the active timeout cuts.
 """
 
 from __future__ import annotations
@@ -27,18 +28,20 @@ from flowtide.schemas import (
 )
 from flowtide.session import materialise
 
-KEY = ["ip_a", "port_a", "ip_b", "port_b", "proto"]
+# The hash comes first: most comparisons of a sort by key are then settled by one number.
+KEY = ["key_hash", "ip_a", "port_a", "ip_b", "port_b", "proto"]
 ORDER = ("ts_us", "pkt_id")
 FLOW = [*KEY, "flow_no"]
-_KEY_TYPES = "ip_a string, port_a int, ip_b string, port_b int, proto string"
+_KEY_TYPES = "key_hash long, ip_a string, port_a int, ip_b string, port_b int, proto string"
 # State codes: the aggregate keeps numbers, the name is put in at the end.
 _STATES = {1: "REQ", 2: "CON", 3: "ACC", 4: "FIN", 5: "RST"}
 
 
 def flow_key(packets: DataFrame) -> DataFrame:
     """Add the direction-free key (endpoint a sorts before b) and whether the sender is a."""
-    a_first = F.struct("src_ip", "src_port") <= F.struct("dst_ip", "dst_port")
-    return packets.withColumns(
+    src, dst = F.col("src_ip"), F.col("dst_ip")
+    a_first = (src < dst) | ((src == dst) & (F.col("src_port") <= F.col("dst_port")))
+    keyed = packets.withColumns(
         {
             "ip_a": F.when(a_first, F.col("src_ip")).otherwise(F.col("dst_ip")),
             "port_a": F.when(a_first, F.col("src_port")).otherwise(F.col("dst_port")),
@@ -47,6 +50,7 @@ def flow_key(packets: DataFrame) -> DataFrame:
             "from_a": a_first,
         }
     )
+    return keyed.withColumn("key_hash", F.xxhash64(*KEY[1:]))
 
 
 def _micros(seconds: float) -> int:
@@ -64,28 +68,33 @@ def _opens(gap_us: int, extra: Column | None = None) -> Column:
 
 
 def _islands(thin: DataFrame, lane: Lane, gap_us: int) -> DataFrame:
-    """Number the runs of packets that only silence, FIN or RST separates."""
+    """Number the runs of packets that only silence, FIN or RST separates, with the start of each."""
     lagged = scan(thin, lane, before={"_prev_ts": F.col("ts_us"), "_prev_end": F.col("ends")})
+    opened = lagged.withColumn("opens", _opens(gap_us))
     return scan(
-        lagged.withColumn("opens", _opens(gap_us)),
+        opened,
         lane,
         total={"island": F.col("opens").cast("long")},
-    ).drop("_prev_ts", "_prev_end")
+        upto={"island_us": F.when(F.col("opens"), F.col("ts_us"))},
+    ).drop("_prev_end")
 
 
 def _starts_in_order(active_us: int):
-    """Marks for rows that arrive run by run in time order; only the open flow is kept between batches."""
+    """Marks for rows that arrive run by run in time order; only the open flow is kept between batches.
+
+    The first row of a run is the one that closes the first flow of it.
+    """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, due = 0, False  # start of the open flow; whether the next packet opens a flow
         for batch in batches:
             ts = batch.column("ts_us").to_numpy()
-            opens = batch.column("opens").to_numpy(zero_copy_only=False)
+            first = batch.column("first").to_numpy(zero_copy_only=False)
             found: list[int] = []
-            for left, right in pairwise([0, *(np.flatnonzero(opens[1:]) + 1), len(ts)]):
+            for left, right in pairwise([0, *(np.flatnonzero(first[1:]) + 1), len(ts)]):
                 at = left
-                if opens[left]:
-                    start, due = ts[at], False
+                if len(ts) and first[left]:
+                    at, due = left + 1, True
                 while at < right:
                     if due:
                         found.append(at)
@@ -101,18 +110,18 @@ def _starts_in_order(active_us: int):
 def _active_starts(thin: DataFrame, lane: Lane, gap_us: int, active_us: int) -> DataFrame:
     """First packets of the flows that the active timeout opens, for keys of ordinary size.
 
-    Only runs that last long enough reach Python, as Arrow batches in time order. The loop makes one
-    step per flow, not per packet, and holds one batch at a time.
+    Only packets past the first flow of a run reach Python, as Arrow batches in time order. The loop
+    makes one step per flow, not per packet, and holds one batch at a time.
     """
-    whole = Window.partitionBy(*KEY, "island")
-    long_runs = (
+    since = F.col("ts_us") - F.col("island_us")
+    before = F.col("_prev_ts") - F.col("island_us") < active_us
+    late = (
         _islands(thin, lane, gap_us)
-        .withColumn("_span", F.max("ts_us").over(whole) - F.min("ts_us").over(whole))
-        .filter(F.col("_span") >= active_us)
-        .select(*KEY, *ORDER, "opens")
+        .filter(since >= active_us)
+        .select(*KEY, *ORDER, (F.col("opens") | before).alias("first"))
     )
-    # Whole keys are in one partition already; the sort puts their runs in order.
-    ordered = long_runs.sortWithinPartitions(*KEY, *ORDER)
+    # Whole keys are in one partition and in order already, so this sort costs nothing.
+    ordered = late.sortWithinPartitions(*KEY, *ORDER)
     return ordered.mapInArrow(_starts_in_order(active_us), f"{_KEY_TYPES}, ts_us long, pkt_id long")
 
 
@@ -126,7 +135,7 @@ def _active_starts_hot(
     doubles in each round, and all joins are on the packet id, so no key gathers in one place.
     """
     placed, lane = cut(thin, KEY, ORDER, pieces, "hot-thin")
-    runs = materialise(_islands(placed, lane, gap_us).drop(PIECE, SLOT), "hot-runs")
+    runs = materialise(_islands(placed, lane, gap_us).drop(PIECE, SLOT, "_prev_ts"), "hot-runs")
 
     spot = ["at_us", "is_packet", "pkt_id"]
     packets = runs.select(*KEY, "island", F.col("ts_us").alias("at_us"), F.lit(1).alias("is_packet"), "pkt_id")
@@ -180,35 +189,41 @@ def _in_flows(rows: DataFrame, lane: Lane, gap_us: int) -> DataFrame:
         upto={"a_opens": F.when(F.col("opens"), F.col("from_a"))},
     ).withColumn("fwd", F.col("from_a") == F.col("a_opens"))
 
-    fwd, flow = F.col("fwd"), F.col("flow_no")
-    seen_at = F.struct(flow.alias("flow"), F.col("ts_us").alias("v"))
+    # A value from an earlier packet counts only if that packet is of the same flow, so its flow number
+    # is carried along.
+    fwd, flow, ts, gap = F.col("fwd"), F.col("flow_no"), F.col("ts_us"), F.col("gap_us")
+
+    def same_side(name: str) -> Column:
+        return F.when(fwd, F.col(f"{name}_f")).otherwise(F.col(f"{name}_b"))
+
+    def by_side(name: str, value: Column, cond: Column) -> dict[str, Column]:
+        return {f"{name}_f": F.when(fwd & cond, value), f"{name}_b": F.when(~fwd & cond, value)}
+
+    always = F.lit(True)
     first = scan(
         numbered,
         lane,
         before={
             "_sa": F.when(~fwd & F.col("syn") & F.col("ack"), flow),
-            "_pf": F.when(fwd, seen_at),
-            "_pb": F.when(~fwd, seen_at),
+            **by_side("_pt", ts, always),
+            **by_side("_pn", flow, always),
         },
     )
-    last_seen = F.when(fwd, F.col("_pf")).otherwise(F.col("_pb"))
     gaps = first.withColumns(
         {
             "synack_before": F.coalesce(F.col("_sa") == flow, F.lit(False)),
-            "gap_us": F.when(last_seen["flow"] == flow, F.col("ts_us") - last_seen["v"]),
+            "gap_us": F.when(same_side("_pn") == flow, ts - same_side("_pt")),
         }
     ).withColumn("answers", fwd & F.col("ack") & F.col("synack_before"))
-    gap_at = F.struct(flow.alias("flow"), F.col("gap_us").alias("v"))
     second = scan(
         gaps,
         lane,
         before={
             "_aq": F.when(F.col("answers"), flow),
-            "_gf": F.when(fwd & F.col("gap_us").isNotNull(), gap_at),
-            "_gb": F.when(~fwd & F.col("gap_us").isNotNull(), gap_at),
+            **by_side("_gt", gap, gap.isNotNull()),
+            **by_side("_gn", flow, gap.isNotNull()),
         },
     )
-    last_gap = F.when(fwd, F.col("_gf")).otherwise(F.col("_gb"))
     first_answer = F.col("answers") & ~F.coalesce(F.col("_aq") == flow, F.lit(False))
     new_state = (
         F.when(F.col("fin"), F.lit(4))
@@ -219,13 +234,11 @@ def _in_flows(rows: DataFrame, lane: Lane, gap_us: int) -> DataFrame:
     )
     return second.withColumns(
         {
-            "jitter_us": F.when(last_gap["flow"] == flow, F.abs(F.col("gap_us") - last_gap["v"])),
+            "jitter_us": F.when(same_side("_gn") == flow, F.abs(gap - same_side("_gt"))),
             "first_answer": first_answer,
             "new_state": new_state,
         }
-    ).drop(
-        "_prev_ts", "_prev_end", "_mark", "_sa", "_pf", "_pb", "_aq", "_gf", "_gb", "answers", "is_packet",
-    )
+    ).drop(*[c for c in second.columns if c.startswith("_") and c not in (PIECE, SLOT)], "answers", "is_packet")
 
 
 def _repeats(rows: DataFrame, hot: bool) -> DataFrame:
@@ -338,6 +351,12 @@ def _per_flow(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*FLOW, "a_opens").agg(*[e.alias(n) for n, e in measures.items()])
 
 
+def close_time(flow_timeout: float, active_timeout: float) -> Column:
+    """When a flow was flushed: at the packet that ended it, or after the silence that did."""
+    by_packet = (F.col("ended") == 1) | (F.col("last_us") - F.col("start_us") >= _micros(active_timeout))
+    return F.when(by_packet, F.col("last_us")).otherwise(F.col("last_us") + _micros(flow_timeout))
+
+
 def flow_measures(
     packets: DataFrame,
     flow_timeout: float = FLOW_TIMEOUT_S,
@@ -346,8 +365,13 @@ def flow_measures(
 ) -> DataFrame:
     """One row per flow: identity, all packet-derived features (rounded as in the record), and the
     unrounded times ``start_us``, ``last_us``, ``close_us``."""
-    active_us, gap_us = _micros(active_timeout), _micros(flow_timeout)
-    agg = _per_flow(flow_packets(packets, flow_timeout, active_timeout, hot_rows))
+    placed = flow_packets(packets, flow_timeout, active_timeout, hot_rows)
+    return measures_of(placed, flow_timeout, active_timeout)
+
+
+def measures_of(placed: DataFrame, flow_timeout: float, active_timeout: float) -> DataFrame:
+    """The same from packets that are in their flows already."""
+    agg = _per_flow(placed)
     a = F.col("a_opens")
     ends = {
         "src_ip": F.when(a, F.col("ip_a")).otherwise(F.col("ip_b")),
@@ -370,7 +394,6 @@ def flow_measures(
     square = (whole * F.col("size_sq") - total * total).cast("double")
     flags = F.greatest(sum((F.col(f"{f}_n") for f in FLAGS[1:]), F.col(f"{FLAGS[0]}_n")), F.lit(1))
     synack, ackdat = wait("synack_us", "syn_us"), wait("ack_us", "synack_us")
-    closes_itself = (F.col("ended") == 1) | (span >= active_us)
     rounded = {
         "dur": (dur, 6),
         "rate": (n / dur, 4),
@@ -396,7 +419,7 @@ def flow_measures(
             "timestamp": iso_utc(F.col("last_us")),
             "service": service_of(F.col("src_port"), F.col("dst_port")),
             "state": lookup(F.col("state_code"), _STATES, "REQ"),
-            "close_us": F.when(closes_itself, F.col("last_us")).otherwise(F.col("last_us") + gap_us),
+            "close_us": close_time(flow_timeout, active_timeout),
             **{name: round_even(value, digits) for name, (value, digits) in rounded.items()},
         }
     )

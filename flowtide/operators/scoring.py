@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,32 +45,49 @@ class Ensemble:
             trees.setdefault(r["tree"], {})[r["node"]] = r
         return Ensemble(tuple(trees[t] for t in sorted(trees)), **names)
 
-    def compiled(self, tree: dict) -> tuple[Column, list[Leaf]]:
-        """(expression giving the leaf number from 1, leaves in that order)."""
+    def compiled(self, tree: dict) -> tuple[str, list[Leaf]]:
+        """(SQL text giving the leaf number from 1, leaves in that order)."""
         leaves: list[Leaf] = []
         up, down = round(STEP_UP / _STEP), round(STEP_DOWN / _STEP)
 
-        def visit(number: int, steps: tuple[int, ...]) -> Column:
+        def visit(number: int, steps: tuple[int, ...]) -> str:
             node = tree[number]
             if node["probs"] is not None:
                 leaves.append(Leaf(tuple(node["probs"]), steps))
-                return F.lit(len(leaves))
+                return str(len(leaves))
             at = self.features.index(node["feature"])
 
             def moved(by: int) -> tuple[int, ...]:
                 return (*steps[:at], steps[at] + by, *steps[at + 1 :])
 
-            value = F.coalesce(F.col(node["feature"]).cast("double"), F.lit(0.0))
             left = visit(node["left"], moved(down))
             right = visit(node["right"], moved(up))
-            return F.when(value <= F.lit(float(node["threshold"])), left).otherwise(right)
+            return f"if(`{_INPUT}{node['feature']}` <= {_double(node['threshold'])}, {left}, {right})"
 
         return visit(min(tree), (0,) * len(self.features)), leaves
 
+    @property
+    def used(self) -> list[str]:
+        """Features that some split reads."""
+        read = {n["feature"] for t in self.trees for n in t.values() if n["probs"] is None}
+        return [f for f in self.features if f in read]
 
-def _leaf_columns(model: Ensemble) -> tuple[dict[str, Column], list[list[Leaf]]]:
+
+_INPUT = "_x_"
+
+
+def _double(value: float) -> str:
+    return f"cast('{float(value)!r}' as double)"
+
+
+def _table(rows: list, cell) -> str:
+    """SQL text of a constant array of arrays."""
+    return "array(" + ", ".join("array(" + ", ".join(cell(v) for v in row) + ")" for row in rows) + ")"
+
+
+def _leaves(model: Ensemble) -> tuple[list[str], list[list[Leaf]]]:
     compiled = [model.compiled(t) for t in model.trees]
-    return {f"_leaf{i}": e for i, (e, _) in enumerate(compiled)}, [leaves for _, leaves in compiled]
+    return [text for text, _ in compiled], [leaves for _, leaves in compiled]
 
 
 def _constant(values: list) -> Column:
@@ -81,21 +97,22 @@ def _constant(values: list) -> Column:
 def score(flows: DataFrame, model: Ensemble) -> DataFrame:
     """Add ``probs``, ``predicted`` (first maximum) and ``anomaly_prob`` = 1 - P(first class).
 
-    Trees become nested CASE expressions inside whole-stage code; no Python runs per row. The leaf
-    numbers stay as columns for the attribution.
+    Trees become nested conditions in generated code; no Python runs per row. Each tree gives a leaf
+    number, the leaf gives its class probabilities from a constant table, and those are averaged. The
+    leaf numbers stay as columns for the attribution.
     """
-    leaf_of, leaves = _leaf_columns(model)
-
-    def mean(cls: int) -> Column:
-        parts = [
-            F.element_at(_constant([leaf.probs[cls] for leaf in table]), F.col(f"_leaf{i}"))
-            for i, table in enumerate(leaves)
-        ]
-        return reduce(lambda a, b: a + b, parts) / F.lit(float(len(leaves)))
-
-    scored = flows.withColumns(leaf_of).withColumn(
-        "probs", F.array(*[mean(c) for c in range(len(model.classes))])
+    texts, leaves = _leaves(model)
+    inputs = flows.withColumns(
+        {f"{_INPUT}{f}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in model.used}
+    )
+    placed = inputs.withColumns({f"_leaf{i}": F.expr(t) for i, t in enumerate(texts)}).drop(
+        *[f"{_INPUT}{f}" for f in model.used]
     )
+    tables = [_table([leaf.probs for leaf in table], _double) for table in leaves]
+    found = placed.withColumns({f"_p{i}": F.expr(f"element_at({t}, _leaf{i})") for i, t in enumerate(tables)})
+    sums = [" + ".join(f"_p{i}[{c}]" for i in range(len(leaves))) for c in range(len(model.classes))]
+    mean = ", ".join(f"({s}) / {_double(len(leaves))}" for s in sums)
+    scored = found.withColumn("probs", F.expr(f"array({mean})")).drop(*[f"_p{i}" for i in range(len(leaves))])
     return scored.withColumns(
         {
             "predicted": F.element_at(
@@ -113,10 +130,10 @@ def attribute(scored: DataFrame, model: Ensemble, top: int = TOP_CONTRIBUTORS) -
     Each split passed to the right adds to its feature and each to the left takes away. The path is a
     function of the leaf, so every leaf brings a ready row of effects. Place the alert filter first.
     """
-    _, leaves = _leaf_columns(model)
+    _, leaves = _leaves(model)
     width = len(model.features)
     rows = [
-        F.element_at(F.array(*[_constant(list(leaf.steps)) for leaf in table]), F.col(f"_leaf{i}"))
+        F.expr(f"element_at({_table([leaf.steps for leaf in table], str)}, _leaf{i})")
         for i, table in enumerate(leaves)
     ]
     total = F.aggregate(

@@ -13,9 +13,19 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Methods above this size are never compiled by the JVM; Spark then splits the code instead.
+    # Wide aggregates and tree ensembles run several times faster for it.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the recommended settings to a running session."""
+    for name, value in RECOMMENDED.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, from ``spark.checkpoint.dir``.
 

@@ -56,7 +56,7 @@ select pkt_id, case when a then src_ip else dst_ip end as ip_a, case when a then
   case when a then dst_ip else src_ip end as ip_b, case when a then dst_port else src_port end as port_b, a as from_a, proto
 from (select *, (src_ip, src_port) <= (dst_ip, dst_port) as a from pk)"""))
 def _key(spark, sf):
-    return flows.flow_key(V.packets(spark, sf)).select("pkt_id", *flows.KEY, "from_a")
+    return flows.flow_key(V.packets(spark, sf)).select("pkt_id", *flows.KEY[1:], "from_a")
 
 
 _SEGMENT = "select pkt_id, f_ip as opener_ip, f_port as opener_port, flow_no, pos as place, fwd from seg"

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+from flowtide.session import configure
+
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query; times are read and written in UTC."""
+    """Register a query; it runs with the recommended settings, times in UTC."""
 
     def add(fn: Callable) -> Callable:
         @wraps(fn)
         def run(spark, sf):
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, sf)
+            return fn(configure(spark), sf)
 
         if name in _QUERIES:
             raise ValueError(f"{name} is registered twice")
