@@ -9,7 +9,7 @@ from flowtide.functions.ordered import number_rows
 from flowtide.schemas import HISTORY
 
 FLUSH_ORDER = ["close_us", "start_us", "flow_id", "flow_no"]
-BLOCK = 65_536
+BLOCK = 8_192
 
 # Count name -> columns that an earlier flow must share.
 CONTEXT_KEYS = {

@@ -7,7 +7,7 @@ stream therefore agree by construction. What is kept is bounded by the active ti
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +67,7 @@ class FlowTracker:
         if before is not None:
             rows = rows.filter(F.col("batch") < before)
         last = rows.orderBy(F.col("batch").desc()).limit(1).collect()
-        return Progress(**last[0].asDict()) if last else Progress()
+        return Progress(*[last[0][f.name] for f in fields(Progress)]) if last else Progress()
 
     def finish(self) -> None:
         """Flush the flows that are still open, as at the end of the input."""
