@@ -227,10 +227,10 @@ _STATS = "sm as (" + " union all ".join(
 
 
 @query("numeric_summary", on_labelled("""
-select "column", "min", "max", median, round(mean, 9) as mean, round(std, 9) as std from sm""", (_STATS,)))
+select "column", "min", "max", median, round(mean, 7) as mean, round(std, 4) as std from sm""", (_STATS,)))
 def _summary(spark, sf):
     out = pr.numeric_summary(V.labelled_flows(spark, sf))
-    return out.withColumns({c: F.round(c, 9) for c in ("mean", "std")})
+    return out.withColumns({"mean": F.round("mean", 7), "std": F.round("std", 4)})
 
 
 @query("dynamic_range", on_labelled("""
