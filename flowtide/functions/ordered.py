@@ -17,8 +17,9 @@ from flowtide.session import materialise
 
 # Rows of one key that a single window task may sort.
 HOT_ROWS = 5_000_000
-# Size of the frequent-item sketch; keys below rows / SKETCH_ITEMS may go unnoticed, which is
-# far below the rows of an ordinary shuffle partition.
+# Size of the frequent-item sketch, and how many keys are taken from it. A key that is left out holds
+# at most about rows / SKETCH_TOP rows, so the largest window task shrinks with the table's share, not
+# with the key's.
 SKETCH_ITEMS = 100_000
 SKETCH_TOP = 10_000
 

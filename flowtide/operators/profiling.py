@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,13 +168,17 @@ class _Bracket:
         return (self.n - 1) // 2, self.n // 2
 
 
-def _brackets(rows: DataFrame, columns: Sequence[str], limit: int) -> dict[str, _Bracket]:
+_PLAIN = {"n": F.count, "lo": F.min, "hi": F.max}
+_MOMENTS = {"mean": F.avg, "std": F.stddev_samp}
+
+
+def _one_row(rows: DataFrame, columns: Sequence[str], stats: dict) -> Row:
+    """Plain statistics of all columns in one pass: one row, read to the driver."""
+    return rows.agg(*[f(F.col(c).cast("double")).alias(f"{s}__{c}") for s, f in stats.items() for c in columns]).first()
+
+
+def _brackets(rows: DataFrame, columns: Sequence[str], limit: int, ends: Row) -> dict[str, _Bracket]:
     """Narrow each column to few values around its median, by passes without a shuffle of rows."""
-    ends = rows.agg(
-        *[F.count(c).alias(f"n__{c}") for c in columns],
-        *[F.min(c).cast("double").alias(f"lo__{c}") for c in columns],
-        *[F.max(c).cast("double").alias(f"hi__{c}") for c in columns],
-    ).first()
     state = {
         c: _Bracket(ends[f"n__{c}"], ends[f"lo__{c}"], ends[f"hi__{c}"], 0, ends[f"n__{c}"])
         for c in columns
@@ -213,9 +217,11 @@ def _brackets(rows: DataFrame, columns: Sequence[str], limit: int) -> dict[str,
     return state
 
 
-def exact_medians(rows: DataFrame, columns: Sequence[str], limit: int = MEDIAN_VALUES) -> DataFrame:
+def exact_medians(
+    rows: DataFrame, columns: Sequence[str], limit: int = MEDIAN_VALUES, ends: Row | None = None
+) -> DataFrame:
     """Median of each column as (column, median), the mean of the two middle values if they differ."""
-    state = _brackets(rows, columns, limit)
+    state = _brackets(rows, columns, limit, ends or _one_row(rows, columns, _PLAIN))
     cells = [
         F.struct(
             F.lit(c).alias("column"),
@@ -241,13 +247,13 @@ def exact_medians(rows: DataFrame, columns: Sequence[str], limit: int = MEDIAN_V
 def numeric_summary(rows: DataFrame, columns: Sequence[str] | None = None, limit: int = MEDIAN_VALUES) -> DataFrame:
     """Minimum, maximum, exact median, mean and sample deviation of the numeric columns."""
     names = list(columns or numeric_columns(rows))
-    stats = {
-        "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp,
-    }
-    one = rows.agg(*[f(F.col(c).cast("double")).alias(f"{s}__{c}") for s, f in stats.items() for c in names])
-    table = _long(one, names, list(stats))
+    stats = _one_row(rows, names, _PLAIN | _MOMENTS)
+    table = rows.sparkSession.createDataFrame(
+        [(c, *(stats[f"{s}__{c}"] for s in ("lo", "hi", "mean", "std"))) for c in names],
+        "column string, min double, max double, mean double, std double",
+    )
     # One row per column on either side.
-    return table.join(F.broadcast(exact_medians(rows, names, limit)), "column", "left").select(
+    return table.join(F.broadcast(exact_medians(rows, names, limit, stats)), "column", "left").select(
         "column", "min", "max", "median", "mean", "std"
     )
 
