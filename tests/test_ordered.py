@@ -67,3 +67,19 @@ def test_normalise_golden(spark):
     assert (got[2]["proto"], got[2]["src_port"], got[2]["tcp_seq"]) == ("udp", 53, 0)
     assert (got[3]["proto"], got[3]["src_port"], got[3]["syn"]) == ("icmp", 0, False)
     assert got[5]["proto"] == "proto-47"
+
+
+def test_shared_folder_is_the_configured_one_or_local_only():
+    from types import SimpleNamespace
+
+    from flowtide.session import shared_folder
+
+    def session(**settings):
+        conf = SimpleNamespace(get=lambda name, default=None: settings.get(name.replace(".", "_"), default))
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(applicationId="app"))
+
+    assert shared_folder(session(spark_checkpoint_dir="hdfs:///c/")) == "hdfs:///c"
+    local = session(spark_master="local[2]")
+    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(RuntimeError):
+        shared_folder(session(spark_master="yarn"))
