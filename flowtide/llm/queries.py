@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("q_bpe", "q_brown", "q_decontaminate", "q_html", "q_lattice", "q_lines", "q_simhash", "q_toxicity")
+MODULES = (
+    "q_bpe", "q_brown", "q_decontaminate", "q_html", "q_importance", "q_lattice", "q_lines", "q_simhash", "q_toxicity",
+)
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
