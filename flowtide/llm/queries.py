@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 MODULES = (
-    "q_bpe", "q_brown", "q_decontaminate", "q_html", "q_importance", "q_lattice", "q_lines", "q_simhash", "q_toxicity",
+    "q_bpe", "q_brown", "q_decontaminate", "q_html", "q_importance", "q_lattice", "q_lines", "q_passages", "q_simhash", "q_toxicity",
 )
 
 _QUERIES: dict[str, Callable] = {}
