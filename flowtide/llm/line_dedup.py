@@ -21,8 +21,8 @@ GRAM, WINDOW = 1, 2
 
 
 def _digest(lines: Column) -> Column:
-    """128 bits of an array of lines, as text."""
-    return F.md5(F.to_json(lines))
+    """128 bits of an array of lines."""
+    return F.unhex(F.md5(F.to_json(lines)))
 
 
 def fingerprints(hashes: Column, window: int) -> Column:
@@ -46,21 +46,24 @@ def repeats(docs: DataFrame, key: str, lines: str, gram: int = GRAM, window: int
         F.sequence(F.lit(0), F.greatest(size - gram, F.lit(0))), lambda i: _digest(F.slice(F.col(lines), i + 1, gram))
     )
     long = docs.where(size >= least).select(F.col(key).alias("k"), F.col(lines).alias("l"), grams.alias("g"))
-    # The candidate runs of a fingerprint at p are those that start at p - window + 1 .. p.
-    chosen = long.select("k", F.size("l").alias("n"), "g", F.explode(fingerprints(F.col("g"), window)).alias("p"))
-    chosen = stored(chosen.select("k", "n", "p", F.element_at("g", F.col("p") + 1).alias("h")), "fingerprints")
-    shared = stored(chosen.groupBy("h").count().where("count > 1").select("h"), "shared")
-    starts = F.sequence(F.greatest(F.col("p") - (window - 1), F.lit(0)), F.least(F.col("p"), F.col("n") - least))
-    found = chosen.join(shared, "h").select("k", F.explode(starts).alias("s")).groupBy("k").agg(F.collect_set("s").alias("s"))
-    runs = (
-        long.join(found, "k").select("k", "l", F.explode("s").alias("s"))
-        .select("k", "s", _digest(F.slice("l", F.col("s") + 1, least)).alias("r"))
+    # The candidate runs of a fingerprint at p are those that start at p - window + 1 .. p. They go along with it, so
+    # that lines need not be fetched again.
+    long = long.withColumn("n", F.size("l"))
+
+    def around(p: Column) -> Column:
+        starts = F.sequence(F.greatest(p - (window - 1), F.lit(0)), F.least(p, F.col("n") - least))
+        return F.transform(starts, lambda i: F.named_struct(F.lit("s"), i, F.lit("r"), _digest(F.slice("l", i + 1, least))))
+
+    chosen = F.transform(
+        fingerprints(F.col("g"), window), lambda p: F.named_struct(F.lit("h"), F.element_at("g", p + 1), F.lit("x"), around(p))
     )
-    runs = stored(runs, "runs")
+    chosen = stored(long.select("k", F.explode(chosen).alias("f")).select("k", "f.*"), "fingerprints")
+    shared = stored(chosen.groupBy("h").count().where("count > 1").select("h"), "shared")
+    runs = stored(chosen.join(shared.hint("merge"), "h").select("k", F.explode("x").alias("x")).select("k", "x.*"), "runs")
     first = stored(
-        runs.groupBy("r").agg(F.min(F.struct("k", "s")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first"
+        runs.groupBy("r").agg(F.min(F.struct("k", "s")).alias("first"), F.max(F.struct("k", "s")).alias("last")).where("first < last"), "first"
     )
-    later = runs.join(first, "r").where(F.struct("k", "s") > F.col("first"))
+    later = runs.join(first.drop("last"), "r").where(F.struct("k", "s") > F.col("first"))
     gone = F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("s") + least - 1)))
     return later.groupBy("k").agg(F.array_sort(F.array_distinct(gone)).alias("gone")).withColumnRenamed("k", key)
 
@@ -94,7 +97,7 @@ def dedup(
     removed = F.coalesce("removed", none)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
     left = F.transform(left, lambda i: F.element_at(lines, i + 1))
-    out = rows.join(places, "_n", "left")
+    out = rows.join(places.hint("merge"), "_n", "left")
     return out.select(
         *[F.when(F.size(removed) > 0, F.array_join(left, "\n")).otherwise(F.col(text)).alias(c) if c == text else c for c in kept],
         F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
