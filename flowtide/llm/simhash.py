@@ -121,3 +121,102 @@ def classes(docs: DataFrame, key: str = "doc_id", fp: str = "fp") -> DataFrame:
         reps.join(least, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "labels"
     )
     return rows.join(labels, "fp").select(key, "fp", "component_id")
+
+
+# Near-duplicates of a given similarity: fingerprints of 256 bits, cut into SEGMENTS segments of 32 bits in two
+# different ways. A bit whose vote was close is the likeliest to differ in a near copy, so the ball around a
+# segment is taken over its WEAK weakest bits, on both sides: a match may differ in the weakest bits of either.
+SEGMENTS, WEAK, SHINGLE, SIMILARITY = 16, 3, 5, 0.8
+# Differing bits of 256 at a similarity of 0.8: 38 on average, with a deviation of 6.
+FARTHEST = 70
+_ORDER = np.concatenate([np.arange(256), np.random.default_rng(5).permutation(256)]).reshape(SEGMENTS, 32)
+_SUBSETS = np.array([[(s >> k) & 1 for k in range(WEAK)] for s in range(1 << WEAK)], np.uint64)
+
+
+def _wide_votes(runs: Sequence[bytes]) -> np.ndarray:
+    return np.concatenate([votes(runs, seed) for seed in (1, 2, 3, 4)])
+
+
+def _weakest(margins: np.ndarray) -> bytes:
+    """For each segment the places of its weakest bits."""
+    return np.argsort(np.abs(margins)[_ORDER], axis=1, kind="stable")[:, :WEAK].astype(np.uint8).tobytes()
+
+
+def _keys(prints: list[bytes], weak: list[bytes]) -> np.ndarray:
+    """A row for each print: all values of its segments with any of their weakest bits turned, with the segment's number."""
+    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 32), axis=1, bitorder="little")[:, _ORDER]
+    base = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0].astype(np.uint64)
+    turns = np.uint64(1) << np.frombuffer(b"".join(weak), np.uint8).reshape(-1, SEGMENTS, WEAK).astype(np.uint64)
+    masks = (turns[:, :, None, :] * _SUBSETS).sum(axis=3, dtype=np.uint64)
+    segment = (np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(32))[None, :, None]
+    return ((base[:, :, None] ^ masks) | segment).reshape(len(prints), -1).astype(np.int64)
+
+
+def _alike(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of pairs (a, b, t, u) whose texts' sets of shingles have at least the similarity."""
+
+    def build():
+        def step(batch):
+            good = []
+            for t, u in zip(texts(batch, "t"), texts(batch, "u")):
+                x, y = set(shingles(t, size)), set(shingles(u, size))
+                good.append(len(x & y) >= similarity * len(x | y))
+            yield {k: batch.column(k).filter(pa.array(good, pa.bool_())) for k in ("a", "b")}
+
+        return step
+
+    return scan(pairs, build, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without the near copies of others: of each group the row of least (key, place in reading order) stays.
+
+    Groups are connected by pairs whose sets of ``size``-word shingles have at least ``similarity`` (Jaccard). Equal fingerprints, those of texts without
+    words and null among them, are one group. Candidates share a segment in the sense above; in a crowded segment all are compared
+    with its first and its last member, not with each other, so copies of copies are found without listing their pairs.
+    """
+    rows = docs.withColumn("_n", F.monotonically_increasing_id())
+    rows = stored(rows, "rows")
+
+    def build():
+        def step(batch):
+            wide = [_wide_votes(shingles(t, size)) for t in texts(batch, 1)]
+            yield {
+                "n": batch.column(0), "fp": [packed(v > 0).tobytes() for v in wide], "weak": [_weakest(v) for v in wide],
+            }
+
+        return step
+
+    prints = stored(scan(rows.select("_n", text), build, "n long, fp binary, weak binary"), "prints")
+    one = stored(prints.groupBy("fp").agg(F.min(F.struct("n", "weak")).alias("o")).select("fp", "o.*"), "distinct")
+
+    def expand():
+        def step(batch):
+            keys = _keys(batch.column("fp").to_pylist(), batch.column("weak").to_pylist())
+            yield {"n": np.repeat(batch.column("n").to_numpy(), keys.shape[1]), "k": keys.ravel()}
+
+        return step
+
+    keys = scan(one, expand, "n long, k long")
+    ends = keys.groupBy("k").agg(F.min("n").alias("x"), F.max("n").alias("y")).where("x < y")
+    ends = stored(ends, "crowded")
+    met = keys.join(ends.hint("merge"), "k").select("n", F.explode(F.array("x", "y")).alias("m")).where("n <> m")
+    met = stored(met.select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b")).distinct(), "met")
+    words_of = F.array(*[F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(4)])
+    wide = stored(one.select("n", words_of.alias("f")), "wide")
+    met = met.join(wide.select(F.col("n").alias("a"), F.col("f").alias("f")), "a")
+    met = met.join(wide.select(F.col("n").alias("b"), F.col("f").alias("g")), "b")
+    apart = F.aggregate(F.zip_with("f", "g", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = stored(met.where(apart <= FARTHEST).select("a", "b"), "near")
+    sides = near.join(rows.select(F.col("_n").alias("a"), F.col(text).alias("t")), "a")
+    sides = sides.join(rows.select(F.col("_n").alias("b"), F.col(text).alias("u")), "b")
+    found = stored(components(_alike(sides.select("a", "b", "t", "u"), size, similarity)), "components")
+    named = one.join(found, one.n == found.node, "left").select("fp", F.coalesce("root", "n").alias("root"))
+    named = stored(named, "named")
+    member = prints.join(named, "fp").select(F.col("n").alias("_n"), "root")
+    least = stored(
+        member.join(rows.select("_n", F.col(key).alias("_k")), "_n").groupBy("root")
+        .agg(F.count("*").alias("m"), F.min(F.struct(F.col("_k").isNull(), "_k", "_n")).alias("o")).where("m > 1").select("root", "o._n"), "stay",
+    )
+    gone = stored(member.join(least.select("root", F.col("_n").alias("s")), "root").where("_n <> s").select("_n"), "gone")
+    return rows.join(gone.hint("merge"), "_n", "left_anti").select(*docs.columns)
