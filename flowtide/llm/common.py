@@ -22,6 +22,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, f"llm-{name}")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A name for a column of our own beside those of df, whatever they are called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of(column: str) -> Column:
     """crc32 of a column as text; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import scan, stored, texts
+from flowtide.llm.common import scan, spare, stored, texts
 
 WINDOW = 10
 # Bytes of windows in one automaton (some 250 MB in a worker). A larger benchmark is cut into several, scanned in turn.
@@ -131,7 +131,8 @@ class _Shared:
 
 
 def _pass(docs: DataFrame, text: str, kept: Sequence[str], shared: _Shared) -> DataFrame:
-    rest = docs.select(*kept, F.col(text).alias("_text"), *[c for c in ("n_words", "hits", "items") if c in docs.columns and c not in kept])
+    own = spare(docs, "_text")
+    rest = docs.select(*kept, F.col(text).alias(own), *[c for c in ("n_words", "hits", "items") if c in docs.columns and c not in kept])
     again = "hits" in rest.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.select(*kept).schema)
 
@@ -140,7 +141,7 @@ def _pass(docs: DataFrame, text: str, kept: Sequence[str], shared: _Shared) -> D
 
         def step(batch):
             counts, hits, items = [], [], []
-            for k, t in enumerate(texts(batch, "_text")):
+            for k, t in enumerate(texts(batch, own)):
                 w = words(t)
                 ranges, named = matcher.hits(w)
                 if again:

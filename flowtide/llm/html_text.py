@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import scan, texts
+from flowtide.llm.common import scan, spare, texts
 
 _TAG = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -228,12 +228,13 @@ def extract(pages: DataFrame, source: str = "html", out: str = "text", keep: Seq
     itself, so repeated rows and ties give equal texts; a page cut off in the middle counts as closed there.
     """
     kept = [c for c in (keep if keep is not None else pages.columns) if c != out]
-    rows = pages.select(*kept, F.col(source).alias("_source"))
+    own = spare(pages, "_source")
+    rows = pages.select(*kept, F.col(source).alias(own))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*kept).schema)
 
     def build():
         def step(batch):
-            yield {c: batch.column(c) for c in kept} | {out: [article(t) for t in texts(batch, "_source")]}
+            yield {c: batch.column(c) for c in kept} | {out: [article(t) for t in texts(batch, own)]}
 
         return step
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import scan, stored, texts
+from flowtide.llm.common import scan, spare, stored, texts
 
 BUCKETS = 10_000
 # Bound of the labelled sample that the target model is fitted on. The model of all texts has no bound.
@@ -82,8 +82,8 @@ def weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return scan(docs.select(*kept), build, f"{fields}log_weight double"), (n[1] or 0) / n[0] if n[0] else 1.0
 
 
-def top(rows: DataFrame, by: str, count: int) -> DataFrame:
-    """rows (a stored table with unique long n) with boolean selected: the ``count`` rows of greatest ``by``, then least n.
+def top(rows: DataFrame, by: str, count: int, n: str) -> DataFrame:
+    """rows (a stored table with a unique long column n) with boolean selected: the ``count`` rows of greatest ``by``, then least n.
 
     A histogram of the range that holds the last selected row is refined until few rows, or rows of one value,
     are left in it; nothing is sorted as a whole.
@@ -108,11 +108,11 @@ def top(rows: DataFrame, by: str, count: int) -> DataFrame:
             above += r.m
     edge = rows.where(F.col(by).between(low, high))
     if within > FEW:  # one value: the least n go first
-        last = top(edge.select("n", (-F.col("n")).cast("double").alias("m")), "m", count - above).where("selected")
-        final = F.col("n") <= last.agg(F.max("n")).first()[0]
+        last = top(edge.select(n, (-F.col(n)).cast("double").alias("m")), "m", count - above, n).where("selected")
+        final = F.col(n) <= last.agg(F.max(n)).first()[0]
         return rows.withColumn("selected", (F.col(by) > high) | ((F.col(by) == high) & final))
-    last = edge.orderBy(F.desc(by), "n").limit(count - above).agg(F.min(F.struct(F.col(by), -F.col("n")))).first()[0]
-    return rows.withColumn("selected", F.struct(F.col(by), -F.col("n")) >= F.struct(F.lit(last[0]), F.lit(last[1])))
+    last = edge.orderBy(F.desc(by), n).limit(count - above).agg(F.min(F.struct(F.col(by), -F.col(n)))).first()[0]
+    return rows.withColumn("selected", F.struct(F.col(by), -F.col(n)) >= F.struct(F.lit(last[0]), F.lit(last[1])))
 
 
 def resample(
@@ -126,7 +126,8 @@ def resample(
     """
     weighed, good = weights(docs, labels, key, text, label, most)
     unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text)), F.lit(2**52)) + 0.5) / 2.0**52
-    new = ("gumbel_key", "selected", "n")
+    new = ("gumbel_key", "selected")
+    n = spare(docs, "_n")
     rows = weighed.drop(*new).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit)))
-    rows = stored(rows.withColumn("n", F.monotonically_increasing_id()), "weighed")
-    return top(rows, "gumbel_key", math.ceil((good if share is None else share) * rows.count())).drop("n")
+    rows = stored(rows.withColumn(n, F.monotonically_increasing_id()), "weighed")
+    return top(rows, "gumbel_key", math.ceil((good if share is None else share) * rows.count()), n).drop(n)

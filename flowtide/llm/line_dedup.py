@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import stored
+from flowtide.llm.common import spare, stored
 
 GRAM, WINDOW = 1, 2
 
@@ -83,21 +83,23 @@ def dedup(
     new = ("n_lines", "n_removed", "removed")
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in new]
     carried = list(dict.fromkeys([*kept, key, text]))
-    rows = stored(docs.select(*carried).withColumn("_n", F.monotonically_increasing_id()), "rows")
+    n = spare(docs, "_n")
+    rows = stored(docs.select(*carried).withColumn(n, F.monotonically_increasing_id()), "rows")
     lines = F.split(F.col(text), "\n", -1)
     full = F.filter(F.transform(lines, lambda x, i: F.named_struct(F.lit("i"), i, F.lit("x"), F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda p: p["x"] != "")
-    parts = rows.select(F.struct(F.col(key).alias("a"), F.col("_n").alias("b")).alias("k"), F.col("_n"), full.alias("f"))
+    parts = rows.select(F.struct(F.col(key).alias("a"), F.col(n).alias("b")).alias("k"), F.col(n).alias("_n"), full.alias("f"))
     parts = parts.select("k", "_n", F.transform("f", lambda p: p["x"]).alias("l"), F.transform("f", lambda p: p["i"]).alias("i"))
     gone = repeats(parts, "k", "l", gram, window).select(F.col("k.b").alias("_n"), "gone")
     places = parts.select("_n", "i").join(gone, "_n").select(
         "_n", F.transform("gone", lambda g: F.element_at("i", g + 1)).alias("removed")
     )
     places = stored(places, "removed")
+    gone_at = spare(docs, "_gone")
     none = F.array().cast("array<int>")
-    removed = F.coalesce("removed", none)
+    removed = F.coalesce(gone_at, none)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
     left = F.transform(left, lambda i: F.element_at(lines, i + 1))
-    out = rows.join(places.hint("merge"), "_n", "left")
+    out = rows.join(places.withColumnRenamed("_n", n).withColumnRenamed("removed", gone_at).hint("merge"), n, "left")
     return out.select(
         *[F.when(F.size(removed) > 0, F.array_join(left, "\n")).otherwise(F.col(text)).alias(c) if c == text else c for c in kept],
         F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),

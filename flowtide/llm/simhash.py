@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowtide.llm.common import scan, stored, texts
+from flowtide.llm.common import scan, spare, stored, texts
 from flowtide.llm.graph import components
 
 SEED = 42
@@ -54,12 +54,13 @@ def packed(bits: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, size: int = 3, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """Columns ``keep`` of docs (all by default) and fp long. Texts without words, null too, have fingerprint zero."""
     kept = [c for c in (keep if keep is not None else docs.columns) if c != "fp"]
-    rows = docs.select(*kept, F.col(text).alias("_text"))
+    own = spare(docs, "_text")
+    rows = docs.select(*kept, F.col(text).alias(own))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*kept).schema)
 
     def build():
         def step(batch):
-            found = np.stack([votes(shingles(t, size), SEED) > 0 for t in texts(batch, "_text")])
+            found = np.stack([votes(shingles(t, size), SEED) > 0 for t in texts(batch, own)])
             yield {c: batch.column(c) for c in kept} | {"fp": pa.array(packed(found)[:, 0])}
 
         return step
@@ -175,8 +176,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     words and null among them, are one group. Candidates share a segment in the sense above; in a crowded segment all are compared
     with its first and its last member, not with each other, so copies of copies are found without listing their pairs.
     """
-    rows = docs.withColumn("_n", F.monotonically_increasing_id())
-    rows = stored(rows, "rows")
+    n, k = spare(docs, "_n"), spare(docs, "_k")
+    rows = stored(docs.withColumn(n, F.monotonically_increasing_id()), "rows")
 
     def build():
         def step(batch):
@@ -187,7 +188,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
         return step
 
-    prints = stored(scan(rows.select("_n", text), build, "n long, fp binary, weak binary"), "prints")
+    prints = stored(scan(rows.select(n, text), build, "n long, fp binary, weak binary"), "prints")
     one = stored(prints.groupBy("fp").agg(F.min(F.struct("n", "weak")).alias("o")).select("fp", "o.*"), "distinct")
 
     def expand():
@@ -208,15 +209,15 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     met = met.join(wide.select(F.col("n").alias("b"), F.col("f").alias("g")), "b")
     apart = F.aggregate(F.zip_with("f", "g", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = stored(met.where(apart <= FARTHEST).select("a", "b"), "near")
-    sides = near.join(rows.select(F.col("_n").alias("a"), F.col(text).alias("t")), "a")
-    sides = sides.join(rows.select(F.col("_n").alias("b"), F.col(text).alias("u")), "b")
+    sides = near.join(rows.select(F.col(n).alias("a"), F.col(text).alias("t")), "a")
+    sides = sides.join(rows.select(F.col(n).alias("b"), F.col(text).alias("u")), "b")
     found = stored(components(_alike(sides.select("a", "b", "t", "u"), size, similarity)), "components")
     named = one.join(found, one.n == found.node, "left").select("fp", F.coalesce("root", "n").alias("root"))
     named = stored(named, "named")
-    member = prints.join(named, "fp").select(F.col("n").alias("_n"), "root")
+    member = prints.join(named, "fp").select(F.col("n").alias(n), "root")
     least = stored(
-        member.join(rows.select("_n", F.col(key).alias("_k")), "_n").groupBy("root")
-        .agg(F.count("*").alias("m"), F.min(F.struct(F.col("_k").isNull(), "_k", "_n")).alias("o")).where("m > 1").select("root", "o._n"), "stay",
+        member.join(rows.select(n, F.col(key).alias(k)), n).groupBy("root")
+        .agg(F.count("*").alias("m"), F.min(F.struct(F.col(k).isNull(), F.col(k), F.col(n).alias("n"))).alias("o")).where("m > 1").select("root", F.col("o.n").alias("s")), "stay",
     )
-    gone = stored(member.join(least.select("root", F.col("_n").alias("s")), "root").where("_n <> s").select("_n"), "gone")
-    return rows.join(gone.hint("merge"), "_n", "left_anti").select(*docs.columns)
+    gone = stored(member.join(least, "root").where(F.col(n) != F.col("s")).select(n), "gone")
+    return rows.join(gone.hint("merge"), n, "left_anti").select(*docs.columns)

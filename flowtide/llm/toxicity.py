@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import crc_of, scan, stored, texts
+from flowtide.llm.common import crc_of, scan, spare, stored, texts
 
 # Bounds of the sample the model is fitted on, and of what a worker remembers about words.
 MAX_TRAIN = 20_000
@@ -347,7 +347,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str]
     of these names are replaced.
     """
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ("score", "spans")]
-    rows = docs.select(*kept, F.col(text).alias("_text"))
+    own = spare(docs, "_text")
+    rows = docs.select(*kept, F.col(text).alias(own))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*kept).schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
@@ -355,7 +356,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str]
         model = shared.value
 
         def step(batch):
-            found = [model.document(t) for t in texts(batch, "_text")]
+            found = [model.document(t) for t in texts(batch, own)]
             yield {c: batch.column(c) for c in kept} | {
                 "score": [f[0] for f in found], "spans": pa.array([f[1] for f in found], pa.list_(_SPAN))
             }
