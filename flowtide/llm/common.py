@@ -30,6 +30,18 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def hash_sample(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """About ``most`` rows of df (which is read twice) by the hash of a unique key, or all if there are no more.
+
+    The share is set so that more than ``most`` are as good as impossible: four deviations below it.
+    """
+    total = df.count()
+    if total <= most:
+        return df
+    share = max(0.0, most - 4 * most**0.5) / total
+    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 def crc_of(column: str) -> Column:
     """crc32 of a column as text; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

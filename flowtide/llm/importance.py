@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import scan, spare, stored, texts
+from flowtide.llm.common import hash_sample, scan, spare, stored, texts
 
 BUCKETS = 10_000
 # Bound of the labelled sample that the target model is fitted on. The model of all texts has no bound.
@@ -63,7 +63,7 @@ def weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("good"))
     usable = stored(usable, "labels")
     n = usable.agg(F.count("*"), F.sum("good")).first()
-    chosen = usable.where("good = 1").orderBy(F.xxhash64("k", F.lit(SEED)), "k").limit(most).select("k")  # bounded, so it can be broadcast
+    chosen = hash_sample(usable.where("good = 1").select("k"), "k", most, SEED)  # bounded, so it can be broadcast
     rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("text"))
     raw = shares(rows.select("text"))
     target = shares(rows.join(F.broadcast(chosen), "k", "left_semi").select("text")) if n[1] else raw
@@ -112,7 +112,7 @@ def top(rows: DataFrame, by: str, count: int, n: str) -> DataFrame:
         final = F.col(n) <= last.agg(F.max(n)).first()[0]
         return rows.withColumn("selected", (F.col(by) > high) | ((F.col(by) == high) & final))
     last = edge.orderBy(F.desc(by), n).limit(count - above).agg(F.min(F.struct(F.col(by), -F.col(n)))).first()[0]
-    return rows.withColumn("selected", F.struct(F.col(by), -F.col(n)) >= F.struct(F.lit(last[0]), F.lit(last[1])))
+    return rows.withColumn("selected", F.struct(F.col(by), -F.col(n)) >= F.struct(F.lit(last[0]), F.lit(last[1]).cast("long")))
 
 
 def resample(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import crc_of, scan, spare, stored, texts
+from flowtide.llm.common import crc_of, hash_sample, scan, spare, stored, texts
 
 # Bounds of the sample the model is fitted on, and of what a worker remembers about words.
 MAX_TRAIN = 20_000
@@ -176,8 +176,7 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
     usable = usable.groupBy(F.col(key).alias("k")).agg(F.max(label).alias("toxic"))
-    order = F.xxhash64("k", F.lit(7))
-    chosen = usable.orderBy(order, "k").limit(most)  # bounded, so it can be broadcast
+    chosen = hash_sample(stored(usable, "labels"), "k", most, 7)  # bounded, so it can be broadcast
     part = F.pmod(F.xxhash64("k", F.lit(3)), F.lit(3)).cast("int")
     rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("text"))
     return rows.join(F.broadcast(chosen), "k").select("text", F.col("toxic").cast("int").alias("toxic"), part.alias("part"))
