@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 
 
 def round_even(col: Column, digits: int) -> Column:
-    """Round half to even on the binary value, as the flow records are written."""
-    scale = float(10**digits)
-    return F.rint(col * F.lit(scale)) / F.lit(scale)
+    """The decimal of ``digits`` places nearest to the binary value, half to even, as the flow records are written.
+
+    The product with the scale is rounded itself, which can only hide on which side of one half it lies. Where it
+    shows one half exactly, its error decides, taken from the halves of a split factor (exact for scales of up to 26 bits).
+    """
+    scale = F.lit(float(10**digits))
+    x = col.cast("double")
+    product = x * scale
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    error = (high * scale - product) + (x - high) * scale
+    below = F.floor(product).cast("double")
+    tie = product - below == 0.5
+    return F.when(tie & (error != 0), F.when(error > 0, below + 1).otherwise(below)).otherwise(F.rint(product)) / scale
 
 
 def strip(col: Column) -> Column:

@@ -131,24 +131,34 @@ def list_alerts(
     alerts: DataFrame,
     status: str | None = None,
     severity: str | None = None,
-    limit: int = 100,
+    limit: int | None = 100,
     offset: int = 0,
     newest: str = "timestamp",
 ) -> DataFrame:
-    """One page of alerts, newest first."""
+    """One page of alerts, newest first; ``limit`` None for all of them."""
+    if limit is not None and not 0 < limit or offset < 0:
+        raise ValueError("a page needs a positive limit and no negative offset")
     if status is not None:
         alerts = alerts.filter(F.col("status") == status)
     if severity is not None:
         alerts = alerts.filter(F.col("severity") == severity)
-    return alerts.orderBy(F.col(newest).desc(), "finding_id").offset(offset).limit(limit)
+    ordered = alerts.orderBy(F.col(newest).desc(), "finding_id")
+    ordered = ordered.offset(offset) if offset else ordered
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def update_alerts(alerts: DataFrame, updates: DataFrame) -> DataFrame:
     """Apply updates (finding_id, version, status, analyst_notes, updated_at) to the current rows.
 
     A null field leaves the stored value; notes are overwritten; ids without an alert change nothing.
-    The latest given value of each field wins.
+    The latest given value of each field wins. Updates older than the stored version are left out; statuses that
+    are not allowed are an error.
     """
+    allowed = F.col("status").isNull() | F.col("status").isin(STATUSES)
+    wrong = F.concat(F.lit("status not allowed: "), F.col("status"))
+    updates = updates.withColumn("status", F.when(allowed, F.col("status")).otherwise(F.raise_error(wrong)))
+    stored = alerts.select("finding_id", F.col("version").alias("_stored"))
+    updates = updates.join(stored, "finding_id").where("version >= _stored")
 
     def last_given(name: str) -> Column:
         return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), F.col("version")))

@@ -129,12 +129,14 @@ def _list(spark, sf):
 @query("alert_update", on_alerts("""
 select b.finding_id, greatest(b.version, coalesce(u.version, b.version)) as version, coalesce(u.status, b.status) as status,
   coalesce(u.notes, b.analyst_notes) as analyst_notes, coalesce(u.updated_at, b.updated_at) as updated_at
-from (select *, ts_us as updated_at from av where status in ('New', 'Investigating')
-    qualify row_number() over (partition by finding_id order by version desc) = 1) b
-  left join (select finding_id, max(version) as version, arg_max(status, version) filter (status is not null) as status,
+from bv b left join (
+  select finding_id, max(version) as version, arg_max(status, version) filter (status is not null) as status,
     arg_max(analyst_notes, version) filter (analyst_notes is not null) as notes, arg_max(ts_us, version) as updated_at
-    from av where status = 'Resolved' or status is null group by finding_id) u using (finding_id)
-""".replace("greatest(b.version, coalesce(u.version, b.version))", "coalesce(u.version, b.version)")))
+  from av join (select finding_id, version as stored from bv) using (finding_id)
+  where (status = 'Resolved' or status is null) and version >= stored group by finding_id) u using (finding_id)
+""", ("""
+bv as (select *, ts_us as updated_at from av where status in ('New', 'Investigating')
+  qualify row_number() over (partition by finding_id order by version desc) = 1)""",)))
 def _update(spark, sf):
     versions = V.alert_events(spark, sf).withColumn("updated_at", F.col("ts_us"))
     open_ = F.col("status").isin("New", "Investigating")

@@ -7,12 +7,8 @@ from harness.views import P1, SCORE, labelled_expressions, manifest_rows
 
 
 def rnd(expr: str, digits: int) -> str:
-    """Half-to-even rounding of a double."""
-    y = f"(({expr}) * 1e{digits})"
-    return (
-        f"(case when {y} - floor({y}) = 0.5 then 2 * floor((floor({y}) + 1) / 2) "
-        f"else round({y}) end / 1e{digits})"
-    )
+    """The nearest decimal of so many places, from the exact binary value."""
+    return f"cast(printf('%.{digits}f', cast({expr} as double)) as double)"
 
 
 EVENTS = r"""

@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from harness import check
+from harness import check, registry
 
 LIGHT = [
     "packet_normalise", "flow_volume", "context_counts", "threat_alert", "ids_rules", "alert_update", "blocks_asof_packets",
@@ -11,8 +11,8 @@ FITS = {"train_logreg", "train_tree", "train_ensemble", "model_bundle_io"}
 
 
 def test_every_query_but_the_fits_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == FITS
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(registry.queries()) - set(registry.sql()) == FITS
+    assert set(registry.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_has_rows(spark):
