@@ -24,12 +24,16 @@ def threat_filter(scored: DataFrame, threshold: float = ANOMALY_THRESHOLD) -> Da
 
 
 def threat_alerts(flows: DataFrame, model: Ensemble, threshold: float = ANOMALY_THRESHOLD) -> DataFrame:
-    """Flows to alerts: score, keep those at or above the threshold, then attribute only those."""
+    """Flows to alerts: score, keep those at or above the threshold, then attribute only those.
+
+    An alert's id is made of the flow, its start and its first packet (``opener``) where they are known, so a
+    stream, a batch and a later batch over more input give a flow the same id.
+    """
     hits = drop_leaves(attribute(threat_filter(score(flows, model), threshold), model))
     prob = F.col("anomaly_prob")
     telemetry = [c for c in [*FLOW_IDENTITY, *FLOW_FEATURES] if c in flows.columns]
     flow_id = F.coalesce("flow_id", F.concat_ws(":", "src_ip", F.col("src_port").cast("string")))
-    once = [flow_id, F.col("timestamp")] + [F.col(c).cast("string") for c in ("flow_no",) if c in flows.columns]
+    once = [flow_id, F.col("timestamp")] + [F.col(c).cast("string") for c in ("start_us", "opener") if c in flows.columns]
     return hits.select(
         F.sha2(F.concat_ws("|", *once), 256).alias("alert_id"),
         "timestamp",

@@ -39,8 +39,10 @@ def recent_counts(
 
     The sequence is cut into blocks of equal size, and each block also gets the last ``history`` rows
     of the one before. All counts then share one exchange on the block number, and a busy source is
-    spread over blocks like every other.
+    spread over blocks like every other. A block must not be shorter than the history.
     """
+    if block < history:
+        raise ValueError(f"blocks of {block} rows can't hold a history of {history}")
     own = F.struct(F.floor(F.col("seq") / block).alias("block"), F.lit(True).alias("own"))
     halo = F.struct((F.floor(F.col("seq") / block) + 1).alias("block"), F.lit(False).alias("own"))
     in_halo = F.pmod(F.col("seq"), F.lit(block)) >= max(block - history, 0)

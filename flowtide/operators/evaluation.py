@@ -36,7 +36,7 @@ def binary_metrics(scored: DataFrame, prob: str = "p", label: str = "label", thr
 def roc_auc(scored: DataFrame, prob: str = "p", label: str = "label") -> DataFrame:
     """Exact area under the ROC curve; equal scores count half.
 
-    Rows are first counted per distinct score. The running count over scores is range-partitioned, so
+    Null if one class is absent. Rows are first counted per distinct score. The running count over scores is range-partitioned, so
     no task sees more than its part of the scores.
     """
     y = F.col(label) == 1
@@ -51,7 +51,7 @@ def roc_auc(scored: DataFrame, prob: str = "p", label: str = "label") -> DataFra
         F.sum(pairs).cast("double").alias("_twice"),
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
     ).select(
-        (F.col("_twice") / (2.0 * F.col("positives") * F.col("negatives"))).alias("roc_auc"),
+        F.try_divide(F.col("_twice"), 2.0 * F.col("positives") * F.col("negatives")).alias("roc_auc"),
         "positives", "negatives",
     )
 

@@ -334,6 +334,7 @@ def _per_flow(rows: DataFrame) -> DataFrame:
             f"{side}jits": F.count(F.when(cond, F.col("jitter_us"))),
         }
     measures = {
+        "opener": F.min_by("pkt_id", pos),
         "start_us": F.min(ts),
         "last_us": F.max(ts),
         "ended": F.max_by((F.col("fin") | F.col("rst")).cast("int"), pos),
@@ -424,4 +425,4 @@ def measures_of(placed: DataFrame, flow_timeout: float, active_timeout: float) -
         }
     )
     measured = [f for f in FLOW_FEATURES if not f.startswith("ct_")]
-    return out.select(*FLOW_IDENTITY, *measured, "flow_no", "start_us", "last_us", "close_us")
+    return out.select(*FLOW_IDENTITY, *measured, "flow_no", "opener", "start_us", "last_us", "close_us")

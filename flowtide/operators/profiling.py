@@ -52,10 +52,20 @@ def inf_counts(rows: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(rows: DataFrame, id_column: str | None = ROW_ID) -> DataFrame:
-    """Exact duplicates, and duplicates but for the id. Copies combine before the shuffle."""
+    """Exact duplicates, and duplicates but for the id.
+
+    Rows are told apart by 256-bit digests of their content and id, so whole rows are never shuffled and
+    copies combine before the shuffle.
+    """
     content = [c for c in rows.columns if c != id_column]
-    exact = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
-    grouped = exact.groupBy(*content).agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") - 1).alias("_exact"))
+
+    def digest(names: list[str]) -> Column:
+        # JSON leaves out nulls and quotes the rest, so different rows give different texts.
+        return F.unhex(F.sha2(F.to_json(F.struct(*names), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}), 256)) if names else F.lit(b"")
+
+    ids = [id_column] if id_column in rows.columns else []
+    exact = rows.select(digest(content).alias("_c"), digest(ids).alias("_i")).groupBy("_c", "_i").agg(F.count(F.lit(1)).alias("_n"))
+    grouped = exact.groupBy("_c").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") - 1).alias("_exact"))
     total = F.coalesce(F.sum("_n"), F.lit(0))
     extra = F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))
     return grouped.agg(

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.functions.columns import count_when
-from flowtide.functions.ordered import Lane, scan
+from flowtide.functions.columns import count_when, ratio
+from flowtide.functions.ordered import Lane, cut, scan
 from flowtide.operators.response import sliding_counts
-from flowtide.schemas import LATENCY_BOUNDS, LATENCY_HISTORY
+from flowtide.schemas import LATENCY_BOUNDS
 
 SECOND_US = 1_000_000
 _DAY_US = 86_400 * SECOND_US
@@ -83,24 +83,26 @@ def latency_histogram(samples: DataFrame, value: str = "seconds") -> DataFrame:
     return one.select(F.inline(F.arrays_zip(le.alias("le"), F.col("c").alias("bucket"))), "latency_sum", "latency_count")
 
 
-def latency_percentiles(samples: DataFrame, order: list[str], value: str = "seconds", last: int = LATENCY_HISTORY) -> DataFrame:
-    """Mean and percentiles with linear interpolation over the latest samples."""
-    recent = samples.orderBy(*[F.col(c).desc() for c in order]).limit(last)
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    one = recent.agg(F.avg(F.col(value).cast("decimal(20,9)")).cast("double").alias("mean"), p.alias("p"))
-    zero = F.lit(0.0)
-    return one.select(
-        F.coalesce("mean", zero).alias("mean"),
-        *[F.coalesce(F.col("p")[i], zero).alias(n) for i, n in enumerate(("p50", "p95", "p99"))],
-    )
-
+def latency_percentiles(samples: DataFrame, order: list[str], value: str = "seconds", last: int | None = None) -> DataFrame:
+    """Mean and percentiles with linear interpolation over all samples, or over the ``last`` ones by ``order``.
 
-def latency_percentiles_all(samples: DataFrame, value: str = "seconds", accuracy: int = 10_000) -> DataFrame:
-    """Percentiles over every sample by a mergeable sketch."""
-    p = F.percentile_approx(value, [0.5, 0.95, 0.99], accuracy)
-    return samples.agg(F.avg(value).alias("mean"), p.alias("p")).select(
-        "mean", *[F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))]
-    )
+    Exact at any size: samples are counted per distinct value, and the running count over values is
+    range-partitioned. Without samples all figures are 0.
+    """
+    recent = samples if last is None else samples.orderBy(*[F.col(c).desc() for c in order]).limit(last)
+    per = recent.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed, lane = cut(per, (), ["v"], name="latencies")
+    upto = scan(placed, lane, total={"upto": F.col("n")})
+    total = placed.agg(F.sum("n").alias("total"), F.sum(F.col("v").cast("decimal(20,9)") * F.col("n")).alias("sum"))
+    found = []
+    for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        rank = F.lit(q) * (F.col("total") - 1)
+        low, high = (F.min(F.when(F.col("upto") > r, F.col("v"))) for r in (F.floor(rank), F.ceil(rank)))
+        found += [low.alias(f"{name}_low"), high.alias(f"{name}_high"), F.max(rank - F.floor(rank)).alias(f"{name}_part")]
+    totals = F.broadcast(total.withColumn("_one", F.lit(1)))  # one row
+    one = upto.withColumn("_one", F.lit(1)).join(totals, "_one").agg(F.max(F.col("sum").cast("double") / F.col("total")).alias("mean"), *found)
+    between = lambda n: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")
+    return one.select(F.coalesce("mean", F.lit(0.0)).alias("mean"), *[F.coalesce(between(n), F.lit(0.0)).alias(n) for n in ("p50", "p95", "p99")])
 
 
 def windowed_rate(rows: DataFrame, keys: list[str], seconds: int = 30, slide: int = 5) -> DataFrame:
@@ -118,7 +120,7 @@ def windowed_increase(rows: DataFrame, keys: list[str], seconds: int = 60) -> Da
 def bucket_quantile(samples: DataFrame, quantiles: dict[str, float], seconds: int = 60, value: str = "seconds") -> DataFrame:
     """Quantiles per window, interpolated inside histogram buckets.
 
-    A rank in the last, open bucket gives the highest finite bound.
+    A rank in the last, open bucket gives the highest finite bound; a window without values gives null.
     """
     width = seconds * SECOND_US
     start = (F.floor(F.col("ts_us") / width) * width).alias("window_us")
@@ -132,27 +134,33 @@ def bucket_quantile(samples: DataFrame, quantiles: dict[str, float], seconds: in
         i = (F.size(F.filter("c", lambda x: x < rank)) + 1).cast("int")
         below = F.when(i > 1, F.element_at("c", F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0))
         low, high = F.element_at(bounds, i), F.element_at(bounds, i + 1)
-        inside = low + (high - low) * ((rank - below) / (F.element_at("c", i) - below))
+        inside = low + (high - low) * F.try_divide(rank - below, F.element_at("c", i) - below)
         return F.when(i >= len(LATENCY_BOUNDS), F.lit(LATENCY_BOUNDS[-2])).otherwise(inside)
 
     return per.select("window_us", *[at(q).alias(name) for name, q in quantiles.items()])
 
 
-def run_summary(flows: DataFrame, alerts: DataFrame, blocks: DataFrame, latency: DataFrame, target_rate: float = 5000.0) -> DataFrame:
-    """One row about a run; each input is reduced to one row before they meet."""
+def run_summary(
+    flows: DataFrame, alerts: DataFrame, blocks: DataFrame, latency: DataFrame, messages: DataFrame, target_rate: float = 5000.0
+) -> DataFrame:
+    """One row about a run; each input is reduced to one row before they meet.
+
+    messages: (failed boolean), a row for each message; without any the error rate is 0.
+    """
     seen = flows.agg(
         F.count(F.lit(1)).alias("flows"),
         ((F.max("close_us") - F.min("start_us")) / F.lit(1e6)).alias("seconds"),
     )
     flagged = alerts.agg(F.count(F.lit(1)).alias("flagged"))
     active = blocks.agg(F.count(F.lit(1)).alias("active_blocks"))
-    parts = [df.withColumn("_one", F.lit(1)) for df in (seen, flagged, active, latency.select("p50", "p95", "p99"))]
+    sent = messages.agg(ratio(count_when(F.col("failed")), F.count(F.lit(1))).alias("error_rate"))
+    parts = [df.withColumn("_one", F.lit(1)) for df in (seen, flagged, active, sent, latency.select("p50", "p95", "p99"))]
     row = parts[0]
     for other in parts[1:]:
         row = row.join(F.broadcast(other), "_one")  # one row each
-    rate = F.col("flows") / F.col("seconds")
+    rate = F.try_divide(F.col("flows").cast("double"), F.col("seconds"))
     return row.select(
         "flows", "flagged", "active_blocks", "p50", "p95", "p99",
         rate.alias("flows_per_second"), (rate / F.lit(target_rate) * 100).alias("target_share"),
-        F.lit(0.0).alias("error_rate"),
+        "error_rate",
     )

@@ -20,5 +20,5 @@ def flow_records(
     """The 45-column flow record, with ``seq``, ``start_us`` and ``close_us`` for ordering."""
     measured = flow_measures(packets, flow_timeout, active_timeout, hot_rows)
     return context_counts(measured, block).select(
-        *FLOW_IDENTITY, *FLOW_FEATURES, "seq", "flow_no", "start_us", "close_us"
+        *FLOW_IDENTITY, *FLOW_FEATURES, "seq", "flow_no", "opener", "start_us", "close_us"
     )

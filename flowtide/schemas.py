@@ -67,8 +67,6 @@ BLOCK_TTL_S = 3600
 BASE_SID = 1000001
 TOP_CONTRIBUTORS = 3
 STEP_UP, STEP_DOWN = 0.15, -0.05
-LATENCY_HISTORY = 10_000
-CSV_EXPORT_LIMIT = 10_000
 QUASI_CONSTANT = 0.995
 DYNAMIC_RANGE = 1000.0
 

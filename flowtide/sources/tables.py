@@ -7,15 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowtide.operators.alerts import list_alerts
-from flowtide.schemas import ALERT, ALERT_CSV_COLUMNS, CSV_EXPORT_LIMIT, EVIDENCE_TYPE, FLOW, LABELLED_FLOW
+from flowtide.schemas import ALERT, ALERT_CSV_COLUMNS, EVIDENCE_TYPE, FLOW, LABELLED_FLOW
 
 CORRUPT = "_corrupt"
 
 
 def scan_labelled_flows(spark: SparkSession, path: str, schema: T.StructType = LABELLED_FLOW) -> DataFrame:
-    """Labelled flows from CSV with a fixed schema; unreadable lines are kept in ``_corrupt``."""
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return (
+    """Labelled flows from CSV with a header, columns in any order; unreadable lines are kept in ``_corrupt``.
+
+    Columns are found by name and typed by the schema; all files have the header of the first. Columns that the schema
+    doesn't know are left out, missing ones are an error.
+    """
+    # Without a schema, reading one line of the header costs no pass over the data.
+    header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    known = {f.name: f for f in schema.fields}
+    missing = [n for n in known if n not in header]
+    if missing:
+        raise ValueError(f"columns missing in {path}: {missing}")
+    found = [known.get(n, T.StructField(n, T.StringType())) for n in header]
+    with_corrupt = T.StructType([*found, T.StructField(CORRUPT, T.StringType())])
+    rows = (
         spark.read.schema(with_corrupt)
         .option("header", True)
         .option("mode", "PERMISSIVE")
@@ -26,6 +37,7 @@ def scan_labelled_flows(spark: SparkSession, path: str, schema: T.StructType = L
         .option("nullValue", "\\N")
         .csv(path)
     )
+    return rows.select(*known, CORRUPT)
 
 
 def write_labelled_flows(rows: DataFrame, path: str) -> None:
@@ -86,10 +98,10 @@ def parse_evidence(alerts: DataFrame, evidence: T.StructType = EVIDENCE_TYPE) ->
     )
 
 
-def export_alerts_csv(alerts: DataFrame, path: str, newest: str = "timestamp") -> None:
-    """The newest alerts, at most 10 000, as a CSV report with fixed columns."""
-    page = list_alerts(alerts, limit=CSV_EXPORT_LIMIT, newest=newest)
-    page.select(*ALERT_CSV_COLUMNS).coalesce(1).write.option("header", True).csv(path)
+def export_alerts_csv(alerts: DataFrame, path: str, newest: str = "timestamp", limit: int | None = None) -> None:
+    """All alerts, newest first, as a CSV report with fixed columns; ``limit`` keeps the newest only."""
+    page = list_alerts(alerts, limit=limit, newest=newest)
+    page.select(*ALERT_CSV_COLUMNS).write.option("header", True).csv(path)
 
 
 def write_report(one_row: DataFrame, path: str) -> None:

@@ -115,7 +115,7 @@ class FlowTracker:
             past = self.spark.read.schema(fresh.schema).parquet(self._part("history", last.batch))
             with_past = with_past.unionByName(past.withColumn("_new", F.lit(False)))
         counted = recent_counts(with_past, CONTEXT_KEYS, HISTORY, self.block).filter("_new")
-        out = counted.select(*FLOW_IDENTITY, *FLOW_FEATURES, "seq", "start_us", "close_us")
+        out = counted.select(*FLOW_IDENTITY, *FLOW_FEATURES, "seq", "opener", "start_us", "close_us")
         emitted = self._store(out, "records", batch).count()
         # The flows that later ones look back on: at most HISTORY rows.
         self._store(with_past.drop("_new").orderBy(F.col("seq").desc()).limit(HISTORY), "history", batch)

@@ -31,7 +31,9 @@ _ALL = ["id", *EXPECTED_FEATURES, "attack_cat", "label"]
 @query("scan_labelled_flows", on_labelled(f"select {quoted(_ALL)} from lf"))
 def _scan(spark, sf):
     path = f"{shared_folder(spark)}/flowtide/labelled-{uuid.uuid4().hex}"
-    tables.write_labelled_flows(V.labelled_flows(spark, sf).select(*_ALL), path)
+    # The file has another order of columns than the schema, and one more.
+    shuffled = sorted(_ALL, key=lambda c: c[::-1])
+    tables.write_labelled_flows(V.labelled_flows(spark, sf).select(*shuffled[:9], F.lit("x").alias("extra"), *shuffled[9:]), path)
     return tables.scan_labelled_flows(spark, path).drop(tables.CORRUPT)
 
 
@@ -162,10 +164,11 @@ def _infs(spark, sf):
 
 
 @query("duplicate_rows", """
-select count(*) as n_rows, count(*) - count(distinct (doc_id, text)) as exact_duplicates, count(*) - count(distinct text) as content_duplicates,
-  (count(*) - count(distinct text))::double / count(*) as content_share from documents""")
+select count(*) as n_rows, count(*) - count(distinct (doc_id, text, lang, source, n_chars)) as exact_duplicates,
+  count(*) - count(distinct (text, lang, source, n_chars)) as content_duplicates,
+  (count(*) - count(distinct (text, lang, source, n_chars)))::double / count(*) as content_share from documents""")
 def _duplicates(spark, sf):
-    return pr.duplicate_rows(V.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return pr.duplicate_rows(V.table(spark, sf, "documents"), "doc_id")
 
 
 @query("duplicate_flow_rows", on_labelled(f"""

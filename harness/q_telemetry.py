@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from flowtide.operators import response as rs
 from flowtide.operators import telemetry as tm
 from flowtide.schemas import LATENCY_BOUNDS
+from flowtide.operators.alerts import threat_alerts
+from flowtide.session import materialise
 from harness import views as V
 from harness.q_alerts import AT, _LAST
 from harness.registry import query
@@ -57,7 +59,7 @@ _PCT = ", ".join(f"round(quantile_cont(seconds, {q}), 9) as {n}" for q, n in ((0
 
 
 @query("latency_percentiles", chain(EVENTS, LATENCY, final=f"""
-select round(avg(seconds::decimal(20,9)), 9) as mean, {_PCT} from (select * from lt order by ts_us desc, event_id desc limit 10000)"""))
+select round(avg(seconds::decimal(20,9)), 9) as mean, {_PCT} from lt"""))
 def _percentiles(spark, sf):
     one = tm.latency_percentiles(V.latencies(spark, sf), ["ts_us", "event_id"])
     return one.select(*[F.round(c, 9).alias(c) for c in one.columns])
@@ -98,15 +100,17 @@ def _bucket_quantile(spark, sf):
 
 @query("run_summary", on_scores(f"""
 select f.*, b.active_blocks, l.*, round(f.flows / s.seconds, 9) as flows_per_second, round(f.flows / s.seconds / 5000.0::double * 100, 9) as target_share,
-  0.0::double as error_rate
+  (select round(count(*) filter (event_type = 'error')::double / count(*), 9) from e) as error_rate
 from (select count(*) as flows, count(*) filter (anomaly_prob >= 0.85::double) as flagged from sc) f,
   (select (max(close_us) - min(start_us)) / 1e6 as seconds from fl) s,
   (select count(*) as active_blocks from lb where event = 'block' and created_us + ttl_seconds * 1000000 > {AT}) b,
-  (select {_PCT} from (select * from lt order by ts_us desc, event_id desc limit 10000)) l""", (BLOCKS, _LAST, LATENCY)))
+  (select {_PCT} from lt) l""", (BLOCKS, _LAST, LATENCY)))
 def _summary(spark, sf):
+    flows = materialise(V.records(spark, sf), "records")  # read twice
+    messages = V.table(spark, sf, "events").select((F.expr(_TOPICS) == "failed").alias("failed"))
     one = tm.run_summary(
-        V.records(spark, sf), V.alerts(spark, sf), rs.blocks_at(V.block_events(spark, sf), AT),
-        tm.latency_percentiles(V.latencies(spark, sf), ["ts_us", "event_id"]),
+        flows, threat_alerts(flows, V.model()), rs.blocks_at(V.block_events(spark, sf), AT),
+        tm.latency_percentiles(V.latencies(spark, sf), ["ts_us", "event_id"]), messages,
     )
     exact = ["flows", "flagged", "active_blocks"]
     return one.select(*exact, *[F.round(c, 9).alias(c) for c in one.columns if c not in exact])

@@ -114,7 +114,7 @@ def flows(p: tuple[float, float]) -> str:
     }
     return f"""
 fa as (
-  select key, flow_no, any_value(f_ip) as src_ip, any_value(f_port) as src_port,
+  select key, flow_no, arg_min(pkt_id, pos) as opener, any_value(f_ip) as src_ip, any_value(f_port) as src_port,
     any_value(case when fwd then dst_ip else src_ip end) as dst_ip,
     any_value(case when fwd then dst_port else src_port end) as dst_port, any_value(proto) as proto,
     min(ts_us) as start_us, max(ts_us) as last_us, arg_max(ends, pos) as ended,
@@ -139,7 +139,7 @@ fl as (
       when 21 then 'ftp' when 25 then 'smtp' when 110 then 'pop3' when 143 then 'imap' else '-' end as service,
     state, spkts, dpkts, sbytes, dbytes, sttl, dttl, sloss, dloss, swin, dwin, stcpb, dtcpb,
     {", ".join(f"{rnd(x, d)} as {n}" for n, (x, d) in rounded.items())},
-    syn_n, ack_n, fin_n, rst_n, psh_n, urg_n, flow_no, start_us, last_us, close_us
+    syn_n, ack_n, fin_n, rst_n, psh_n, urg_n, flow_no, opener, start_us, last_us, close_us
   from fb
 )"""
 
@@ -287,7 +287,7 @@ sc0 as (select *, {probs}, {steps} from rec),
 sc as (select *, {predicted} as predicted, 1.0::double - p_normal as anomaly_prob,
   list_reverse_sort([{effects}]) as effects from sc0),
 al as (
-  select sha256(flow_id || '|' || "timestamp" || '|' || flow_no) as alert_id, "timestamp", flow_id, src_ip, dst_ip, src_port, dst_port,
+  select sha256(flow_id || '|' || "timestamp" || '|' || start_us || '|' || opener) as alert_id, "timestamp", flow_id, src_ip, dst_ip, src_port, dst_port,
     proto, case when predicted = 'Normal' then 'Generic' else predicted end as attack_cat, {rnd("anomaly_prob", 4)} as anomaly_prob,
     effects[1].feature as primary_contributing_feature, effects, last_us as created_us,
     case when anomaly_prob >= 0.95::double then 'CRITICAL' else 'HIGH' end as severity, start_us, flow_no, dur, spkts, service
