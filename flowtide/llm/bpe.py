@@ -29,7 +29,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 # Pieces never reach over white space but for one leading blank, so texts are first cut into these chunks,
 # which repeat much more often than whole texts and are worth remembering.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-KEPT_CHUNKS, KEPT_PAIRS, LONGEST_KEPT = 400_000, 400_000, 64
+KEPT_CHUNKS, KEPT_PAIRS, LONGEST_KEPT = 150_000, 300_000, 64
 
 
 class ByteBPE:

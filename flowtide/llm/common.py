@@ -53,22 +53,37 @@ def texts(batch: pa.RecordBatch, column: int | str) -> Iterator[str]:
         yield value.as_py() or ""
 
 
-def scan(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
-    """mapInArrow with one set-up per task: ``build`` gives the function that turns a batch into columns."""
+# Rows of a batch in a Python worker. Texts may be long, so batches are short; the session's setting counts if it is less.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def scan(df: DataFrame, build: Callable[[], Callable | tuple[Callable, Callable]], schema: str) -> DataFrame:
+    """mapInArrow with one set-up per task.
+
+    ``build`` gives the function that turns a batch into columns (any number of times), and may give another
+    one for what is left at the end of the task.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     out = StructType.fromDDL(schema)
     arrow = to_arrow_schema(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def columns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         step = build()
+        step, finish = step if isinstance(step, tuple) else (step, tuple)
         for batch in batches:
-            for columns in step(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [_array(columns[f.name], f.type) for f in arrow], names=arrow.names
-                )
+            yield from step(batch)
+        yield from finish()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in columns_of(batches):
+            yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in arrow], names=arrow.names)
 
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
     return df.mapInArrow(run, out)
 
 

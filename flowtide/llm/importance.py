@@ -39,14 +39,18 @@ def shares(rows: DataFrame) -> np.ndarray:
     """Smoothed log share of each bucket in texts (text)."""
 
     def build():
+        counts = np.zeros(BUCKETS, np.int64)
+
         def step(batch):
-            counts = np.zeros(BUCKETS, np.int64)
             for t in texts(batch, 0):
-                counts += np.bincount(buckets(t), minlength=BUCKETS)
+                np.add.at(counts, buckets(t), 1)
+            return ()
+
+        def finish():
             found = np.flatnonzero(counts)
             yield {"b": found, "n": counts[found]}
 
-        return step
+        return step, finish
 
     total = np.full(BUCKETS, SMOOTH)
     for r in scan(rows, build, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # a row a bucket
