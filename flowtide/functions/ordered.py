@@ -17,12 +17,6 @@ from flowtide.session import materialise
 
 # Rows of one key that a single window task may sort.
 HOT_ROWS = 5_000_000
-# Size of the frequent-item sketch, and how many keys are taken from it. A key that is left out holds
-# at most about rows / SKETCH_TOP rows, so the largest window task shrinks with the table's share, not
-# with the key's.
-SKETCH_ITEMS = 100_000
-SKETCH_TOP = 10_000
-
 PIECE = "_piece"
 SLOT = "_slot"
 
@@ -48,20 +42,13 @@ class Lane:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> dict[int, int]:
-    """Hash of each key that holds more than ``limit`` rows, with its approximate row count.
+    """Hash of each key that holds more than ``limit`` rows, with its row count.
 
-    One pass with a frequent-item sketch, so the shuffle is one small row per task. A hash collision
-    only sends a small key along the careful route, which gives the same result. A table that is no
-    larger than the limit is not looked at further.
+    An exact count with map-side combine; at most rows / limit keys come out of it. A hash collision
+    only sends a small key along the careful route, which gives the same result.
     """
-    if df.count() <= limit:
-        return {}
-    top = (
-        df.select(F.xxhash64(*keys).alias("h"))
-        .agg(F.expr(f"approx_top_k(h, {SKETCH_TOP}, {SKETCH_ITEMS})").alias("top"))
-        .first()["top"]
-    )
-    return {r["item"]: r["count"] for r in top if r["count"] > limit}
+    counts = df.groupBy(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return {r.h: r.n for r in counts.where(F.col("n") > limit).collect()}
 
 
 def split_hot(

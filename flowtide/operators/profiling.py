@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from flowtide.functions.columns import count_when, strip
 from flowtide.schemas import CATEGORICAL, DYNAMIC_RANGE, QUASI_CONSTANT, ROW_ID, TARGET, TARGET_CLASS
 
-# Distinct values of one column that the exact median may sort in one task.
-MEDIAN_VALUES = 1_000_000
+# Values of a column that are ranked at last, after passes that narrow the range around its median; and the passes' accuracy.
+MEDIAN_VALUES, MEDIAN_ACCURACY = 10_000, 1_000
 
 
 def numeric_columns(rows: DataFrame, skip: Sequence[str] = (ROW_ID, TARGET)) -> list[str]:
@@ -125,17 +125,18 @@ def constant_columns(rows: DataFrame, quasi: float = QUASI_CONSTANT) -> DataFram
     """Columns in which one value (null included) has at least the given share.
 
     Such a value is the median of a numeric column and the top item of a text column, so one pass finds
-    the candidates and a second counts them exactly; no column is shuffled. Valid for shares above half.
+    the candidates and a second counts them exactly; no column is shuffled. Valid for shares above half by more
+    than the error of the approximate median. An empty table has no such columns.
     """
-    if quasi <= 0.5:
-        raise ValueError("the share must be above one half")
+    if quasi <= 0.5 + 2 / MEDIAN_ACCURACY:
+        raise ValueError(f"the share must be above one half by more than {2 / MEDIAN_ACCURACY}")
     numeric = set(numeric_columns(rows, skip=()))
     names = rows.columns
 
     def candidate(c: str) -> Column:
         if c in numeric:
-            return F.percentile_approx(c, 0.5, 1000)
-        return F.expr(f"approx_top_k(cast(`{c}` as string), 1, 100)")[0]["item"]
+            return F.percentile_approx(c, 0.5, MEDIAN_ACCURACY)
+        return F.get(F.expr(f"approx_top_k(cast(`{c}` as string), 1, 100)"), F.lit(0))["item"]
 
     found = rows.agg(*[candidate(c).alias(c) for c in names]).first()
 
@@ -152,7 +153,7 @@ def constant_columns(rows: DataFrame, quasi: float = QUASI_CONSTANT) -> DataFram
         F.struct(
             F.lit(c).alias("column"),
             F.when(F.col(f"nulls__{c}") > F.col(f"hits__{c}"), F.lit(None)).otherwise(F.lit(str(found[c]))).alias("top_value"),
-            (F.greatest(f"hits__{c}", f"nulls__{c}") / F.col("_n")).alias("top_share"),
+            F.try_divide(F.greatest(f"hits__{c}", f"nulls__{c}"), F.col("_n")).alias("top_share"),
         )
         for c in names
     ]
@@ -201,12 +202,12 @@ def _brackets(rows: DataFrame, columns: Sequence[str], limit: int, ends: Row) ->
 
         def shares(b: _Bracket) -> list[float]:
             lo, hi = ((r - b.below + 0.5) / b.inside for r in b.ranks)
-            return [max(lo - 0.001, 0.0), min(hi + 0.001, 1.0)]
+            return [max(lo - 2 / MEDIAN_ACCURACY, 0.0), min(hi + 2 / MEDIAN_ACCURACY, 1.0)]
 
         cuts = rows.agg(
             *[
                 F.percentile_approx(
-                    F.when(within(c, state[c].low, state[c].high), F.col(c).cast("double")), shares(state[c]), 10_000
+                    F.when(within(c, state[c].low, state[c].high), F.col(c).cast("double")), shares(state[c]), MEDIAN_ACCURACY
                 ).alias(c)
                 for c in wide
             ]

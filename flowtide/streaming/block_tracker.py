@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENT = "version long, created_us long, target_ip string, event string, ttl_seconds long"
+STATE = f"{EVENT}, listed boolean"
 
 
 class BlockTracker:
-    """Keeps the latest event of each address whose block is still in force.
+    """Keeps, for each address, the events that can still matter.
 
-    ``advance`` is the ``foreachBatch`` function; a repeated batch overwrites its own output. An address
-    leaves the state when its block is lifted or has expired, so the state does not grow with time.
+    ``advance`` is the ``foreachBatch`` function; a repeated batch overwrites its own output. A block runs out
+    unless a later event of its address comes first; each is listed once, wherever the batches end. The latest event of an
+    address stays while it is a block in force, and otherwise for ``delay`` seconds, so that a block that arrives late
+    doesn't come back to life; so the state does not grow with time.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, delay: float = 86_400.0):
+        self.spark, self.path, self.delay_us = spark, path.rstrip("/"), int(delay * 1_000_000)
 
     def start(self, events: DataFrame, **trigger):
         return (
@@ -27,27 +30,27 @@ class BlockTracker:
         )
 
     def _read(self, kind: str, batch: int) -> DataFrame:
-        return self.spark.read.schema(EVENT).parquet(f"{self.path}/{kind}/batch={batch}")
+        return self.spark.read.schema(STATE).parquet(f"{self.path}/{kind}/batch={batch}")
 
     def advance(self, events: DataFrame, batch: int) -> None:
-        new = events.select(*[c.split()[0] for c in EVENT.split(", ")])
+        new = events.select(*[c.split()[0] for c in EVENT.split(", ")], F.lit(False).alias("listed"))
         known = new if batch == 0 else new.unionByName(self._read("state", batch - 1))
-        at = F.struct("created_us", "version")
-        latest = known.groupBy("target_ip").agg(
-            F.max_by(F.struct("version", "created_us", "event", "ttl_seconds"), at).alias("e")
-        )
-        rows = latest.select("e.version", "e.created_us", "target_ip", "e.event", "e.ttl_seconds")
-        rows.write.mode("overwrite").parquet(f"{self.path}/latest/batch={batch}")
-        rows = self._read("latest", batch)
         now = known.agg(F.max("created_us")).first()[0]
+        after = Window.partitionBy("target_ip").orderBy("created_us", "version")
         until = F.col("created_us") + F.col("ttl_seconds") * 1_000_000
-        blocks = rows.filter(F.col("event") == "block")
-        blocks.filter(until > now).write.mode("overwrite").parquet(f"{self.path}/state/batch={batch}")
-        blocks.filter(until <= now).write.mode("overwrite").parquet(f"{self.path}/expired/batch={batch}")
+        placed = known.withColumns({"next_us": F.lead("created_us").over(after), "until": until})
+        block = F.col("event") == "block"
+        over = block & (F.col("until") <= F.lit(now)) & (F.col("next_us").isNull() | (F.col("next_us") >= F.col("until")))
+        placed = placed.withColumn("over", F.coalesce(over, F.lit(False)))
+        names = [c.split()[0] for c in STATE.split(", ")]
+        placed.filter("over and not listed").select(*names).write.mode("overwrite").parquet(f"{self.path}/expired/batch={batch}")
+        matters = (block & ~F.col("over")) | (F.col("created_us") >= F.lit((now or 0) - self.delay_us))
+        kept = placed.filter(F.col("next_us").isNull() & matters).withColumn("listed", F.col("listed") | F.col("over"))
+        kept.select(*names).write.mode("overwrite").parquet(f"{self.path}/state/batch={batch}")
 
     def active(self, batch: int) -> DataFrame:
-        return self._read("state", batch)
+        return self._read("state", batch).filter("event = 'block' and not listed")
 
     def expired(self) -> DataFrame:
-        """Every block that ran out, with the batch that noticed it."""
+        """Every block that ran out, with the batch that noticed it; one row an event."""
         return self.spark.read.parquet(f"{self.path}/expired")

@@ -11,6 +11,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from flowtide.functions.ordered import HOT_ROWS, number_rows
 from flowtide.operators.context import BLOCK, CONTEXT_KEYS, FLUSH_ORDER, recent_counts
@@ -32,12 +33,13 @@ class Progress:
 class FlowTracker:
     """``advance`` is the ``foreachBatch`` function; a repeated batch overwrites its own output.
 
-    Packets older than the watermark (latest time seen minus ``delay``) are dropped and counted.
+    ``delay`` is how many seconds packets may come behind the latest one seen: flows are held back that long. Packets
+    that are later still can't change what is out; they are counted and kept in a table of their own (``late``).
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, flow_timeout: float = FLOW_TIMEOUT_S,
-        active_timeout: float = ACTIVE_TIMEOUT_S, delay: float = 0.0, hot_rows: int = HOT_ROWS, block: int = BLOCK,
+        self, spark: SparkSession, path: str, delay: float, flow_timeout: float = FLOW_TIMEOUT_S,
+        active_timeout: float = ACTIVE_TIMEOUT_S, hot_rows: int = HOT_ROWS, block: int = BLOCK,
     ):
         self.spark, self.path = spark, path.rstrip("/")
         self.timeouts = (flow_timeout, active_timeout)
@@ -56,6 +58,10 @@ class FlowTracker:
         """Everything emitted so far."""
         return self.spark.read.parquet(f"{self.path}/records").drop("batch")
 
+    def late(self) -> DataFrame:
+        """Packets that came too late for their flow, with the batch that brought them."""
+        return self.spark.read.schema(StructType([*PACKET.fields, StructField("batch", IntegerType())])).parquet(f"{self.path}/late")
+
     def progress(self, before: int | None = None) -> Progress:
         """State after the last batch (before the given one)."""
         try:
@@ -119,7 +125,7 @@ class FlowTracker:
         emitted = self._store(out, "records", batch).count()
         # The flows that later ones look back on: at most HISTORY rows.
         self._store(with_past.drop("_new").orderBy(F.col("seq").desc()).limit(HISTORY), "history", batch)
-        late = arrived.filter(~in_time).count() if last.batch >= 0 else 0
+        late = self._store(arrived.filter(~in_time), "late", batch).count()
         state = [(batch, watermark, last.next_seq + emitted, last.late + late)]
         self.spark.createDataFrame(state, _PROGRESS).coalesce(1).write.mode("overwrite").json(
             f"{self.path}/progress/run={batch}"

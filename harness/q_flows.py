@@ -146,3 +146,9 @@ def _features(spark, sf):
 @query("flow_features_active", on_records(f"select {quoted(RECORD)}, seq from rec", p=V.P2))
 def _features_active(spark, sf):
     return flow_records(V.packets(spark, sf), *V.P2).select(*RECORD, "seq")
+
+
+@query("flow_features_hot", on_records(f"select {quoted(RECORD)}, seq from rec", p=V.P2))
+def _features_hot(spark, sf):
+    """The same by the route of keys that are too large for one task, which nearly all keys take at this limit."""
+    return flow_records(V.packets(spark, sf), *V.P2, hot_rows=50).select(*RECORD, "seq")

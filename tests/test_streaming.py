@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowtide.operators import response as rs
@@ -31,7 +32,7 @@ def test_flow_tracker_equals_batch(spark, sf, tmp_path):
     packets = V.packets(spark, sf)
     source = files_in_time_order(packets, str(tmp_path / "in"), 4)
     stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    tracker = FlowTracker(spark, str(tmp_path / "state"), *V.P2, block=128)
+    tracker = FlowTracker(spark, str(tmp_path / "state"), 0.0, *V.P2, block=128)
     tracker.start(stream).awaitTermination()
     tracker.finish()
     want = flow_records(packets, *V.P2).select(*RECORD)
@@ -43,14 +44,14 @@ def test_repeated_and_late_batches(spark, sf, tmp_path):
     packets = V.packets(spark, sf)
     middle = packets.approxQuantile("ts_us", [0.5], 0.0)[0]
     early, rest = packets.filter(F.col("ts_us") < middle), packets.filter(F.col("ts_us") >= middle)
-    tracker = FlowTracker(spark, str(tmp_path / "state"), *V.P1)
+    tracker = FlowTracker(spark, str(tmp_path / "state"), 0.0, *V.P1)
     tracker.advance(early, 0)
     tracker.advance(rest, 1)
     before = tracker.records().count()
     tracker.advance(rest, 1)
     assert tracker.records().count() == before
     tracker.advance(early, 2)
-    assert tracker.progress().late == early.count()
+    assert tracker.progress().late == early.count() == tracker.late().count()
     tracker.finish()
     assert tracker.records().count() == flow_records(packets, *V.P1).count()
 
@@ -96,4 +97,35 @@ def test_block_tracker_equals_batch(spark, sf, tmp_path):
     cols = ["target_ip", "created_us", "ttl_seconds"]
     want = rs.blocks_at(events, last).select(*cols)
     assert sorted(map(tuple, tracker.active(2).select(*cols).collect())) == sorted(map(tuple, want.collect()))
-    assert tracker.expired().count() > 0
+    after = Window.partitionBy("target_ip").orderBy("created_us", "version")
+    until = F.col("created_us") + F.col("ttl_seconds") * 1_000_000
+    ran_out = events.withColumns({"next": F.lead("created_us").over(after), "until": until}).where(
+        (F.col("event") == "block") & (F.col("until") <= last) & (F.col("next").isNull() | (F.col("next") >= F.col("until")))
+    )
+    assert sorted(map(tuple, tracker.expired().select(*cols).collect())) == sorted(map(tuple, ran_out.select(*cols).collect()))
+
+
+def test_block_tracker_late_block_stays_lifted(spark, tmp_path):
+    schema = "version long, created_us long, target_ip string, event string, ttl_seconds long"
+    tracker = BlockTracker(spark, str(tmp_path / "blocks"))
+    second = 1_000_000
+    tracker.advance(spark.createDataFrame([(1, 0, "a", "block", 5), (2, 7 * second, "a", "block", 5), (3, 9 * second, "b", "unblock", 0)], schema), 0)
+    assert [r.version for r in tracker.expired().collect()] == [1]
+    tracker.advance(spark.createDataFrame([(4, 8 * second, "b", "block", 100), (5, 20 * second, "c", "block", 100)], schema), 1)
+    assert [r.target_ip for r in tracker.active(1).collect()] == ["c"]
+    assert sorted(r.version for r in tracker.expired().collect()) == [1, 2]
+
+
+def test_compacted_alerts_are_read(spark, tmp_path):
+    from flowtide.streaming.alert_sink import AlertSink
+
+    schema = "finding_id string, version long, status string"
+    sink = AlertSink(spark, str(tmp_path / "alerts"))
+    for k in range(3):
+        spark.createDataFrame([("a", k, "New"), (f"only{k}", 1, None)], schema).write.parquet(str(tmp_path / f"in/{k}"))
+        sink.run_available(spark.readStream.schema(schema).parquet(str(tmp_path / "in/*")))
+        if k < 2:
+            sink.compact(k)
+    got = {r.finding_id: r.version for r in sink.current().collect()}
+    assert got == {"a": 2, "only0": 1, "only1": 1, "only2": 1}
+    assert "run=1" in str(sink.current().inputFiles())
