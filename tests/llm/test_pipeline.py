@@ -39,7 +39,7 @@ def test_toxic_documents_go(spark, sf, stages):
 
 
 def test_repeated_lines_go(stages):
-    from tests.llm.test_group_operators import without_repeats
+    from test_group_operators import without_repeats
 
     before, after = rows(stages[1][1]), rows(stages[2][1])
     keys = sorted(before)
@@ -49,7 +49,7 @@ def test_repeated_lines_go(stages):
 
 
 def test_near_copies_go(stages):
-    from tests.llm.test_group_operators import find_all
+    from test_group_operators import find_all
 
     before, after = rows(stages[2][1]), rows(stages[3][1])
     sets = {k: set(simhash.shingles(r.text or "", 5)) for k, r in before.items()}
