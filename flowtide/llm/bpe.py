@@ -29,7 +29,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 # Pieces never reach over white space but for one leading blank, so texts are first cut into these chunks,
 # which repeat much more often than whole texts and are worth remembering.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-KEPT_CHUNKS, KEPT_PAIRS, LONGEST_KEPT = 150_000, 300_000, 64
+KEPT_CHUNKS, KEPT_PAIRS, LONGEST_KEPT = 200_000, 400_000, 64
 
 
 class ByteBPE:
@@ -105,13 +105,17 @@ class ByteBPE:
         return next((self.ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.ranks), None)
 
     def encode_piece(self, data: bytes) -> list[int]:
-        size = len(data)
+        size, line = len(data), data.decode("latin-1")
+        known, size_of, shorter = self.pairs.get, self.size_of, self.shorter
+        # Most often the longest matches, one after the other, are compatible, and then nothing else is.
+        taken = [token for _, (token, _) in self.automaton.iter_long(line)]
+        if sum(map(size_of.__getitem__, taken)) == size and all(map(self.compatible, taken, taken[1:])):
+            return taken
         longest: list[int | None] = [None] * (size + 1)
-        for end, (token, back) in self.automaton.iter(data.decode("latin-1")):
+        for end, (token, back) in self.automaton.iter(line):
             longest[end - back] = token  # matches come by their end, so the last one is the longest
-        known, size_of, shorter = self.pairs.get, self.size_of, self.shorter
         dead = set()
-        taken: list[int] = []
+        taken = []
         at, token = 0, longest[0]
         while at < size:
             while token is not None:
