@@ -153,6 +153,27 @@ def _keys(prints: list[bytes], weak: list[bytes]) -> np.ndarray:
     return ((base[:, :, None] ^ masks) | segment).reshape(len(prints), -1).astype(np.int64)
 
 
+def _met(prints: DataFrame, balls: bool) -> DataFrame:
+    """Pairs (a, b) to compare among prints (n, fp, weak, c): those of different c that share a segment, or with ``balls`` a
+    value of the balls around it. In each place everything meets the least and the greatest c that are there."""
+
+    def build():
+        def step(batch):
+            keys = _keys(batch.column("fp").to_pylist(), batch.column("weak").to_pylist())
+            # The first value of each ball is the segment itself.
+            keys = keys if balls else keys[:, :: 1 << WEAK]
+            n, c = (np.repeat(batch.column(x).to_numpy(), keys.shape[1]) for x in ("n", "c"))
+            yield {"n": n, "c": c, "k": keys.ravel()}
+
+        return step
+
+    keys = scan(prints.select("n", "fp", "weak", "c"), build, "n long, c long, k long")
+    ends = keys.groupBy("k").agg(F.min(F.struct("c", "n")).alias("x"), F.max(F.struct("c", "n")).alias("y"))
+    ends = stored(ends.where("x.c < y.c"), "crowded")
+    met = keys.join(ends.hint("merge"), "k").select("n", "c", F.explode(F.array("x", "y")).alias("m")).where("c <> m.c")
+    return stored(met.select(F.least("n", "m.n").alias("a"), F.greatest("n", "m.n").alias("b")).distinct(), "met")
+
+
 def _alike(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of pairs (a, b, t, u) whose texts' sets of shingles have at least the similarity."""
 
@@ -172,9 +193,10 @@ def _alike(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the near copies of others: of each group the row of least (key, place in reading order) stays.
 
-    Groups are connected by pairs whose sets of ``size``-word shingles have at least ``similarity`` (Jaccard). Equal fingerprints, those of texts without
-    words and null among them, are one group. Candidates share a segment in the sense above; in a crowded segment all are compared
-    with its first and its last member, not with each other, so copies of copies are found without listing their pairs.
+    Groups are connected by pairs whose sets of ``size``-word shingles have at least ``similarity`` (Jaccard). Equal fingerprints,
+    those of texts without words and null among them, are one group. Candidates share a segment, exactly or in the sense above; in a
+    crowded place all are compared with its least and its greatest member, not with each other, and what is connected
+    already is not compared again.
     """
     n, k = spare(docs, "_n"), spare(docs, "_k")
     rows = stored(docs.withColumn(n, F.monotonically_increasing_id()), "rows")
@@ -191,27 +213,25 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     prints = stored(scan(rows.select(n, text), build, "n long, fp binary, weak binary"), "prints")
     one = stored(prints.groupBy("fp").agg(F.min(F.struct("n", "weak")).alias("o")).select("fp", "o.*"), "distinct")
 
-    def expand():
-        def step(batch):
-            keys = _keys(batch.column("fp").to_pylist(), batch.column("weak").to_pylist())
-            yield {"n": np.repeat(batch.column("n").to_numpy(), keys.shape[1]), "k": keys.ravel()}
-
-        return step
-
-    keys = scan(one, expand, "n long, k long")
-    ends = keys.groupBy("k").agg(F.min("n").alias("x"), F.max("n").alias("y")).where("x < y")
-    ends = stored(ends, "crowded")
-    met = keys.join(ends.hint("merge"), "k").select("n", F.explode(F.array("x", "y")).alias("m")).where("n <> m")
-    met = stored(met.select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b")).distinct(), "met")
     words_of = F.array(*[F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(4)])
     wide = stored(one.select("n", words_of.alias("f")), "wide")
-    met = met.join(wide.select(F.col("n").alias("a"), F.col("f").alias("f")), "a")
-    met = met.join(wide.select(F.col("n").alias("b"), F.col("f").alias("g")), "b")
-    apart = F.aggregate(F.zip_with("f", "g", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = stored(met.where(apart <= FARTHEST).select("a", "b"), "near")
-    sides = near.join(rows.select(F.col(n).alias("a"), F.col(text).alias("t")), "a")
-    sides = sides.join(rows.select(F.col(n).alias("b"), F.col(text).alias("u")), "b")
-    found = stored(components(_alike(sides.select("a", "b", "t", "u"), size, similarity)), "components")
+
+    def verified(met: DataFrame) -> DataFrame:
+        met = met.join(wide.select(F.col("n").alias("a"), F.col("f").alias("f")), "a")
+        met = met.join(wide.select(F.col("n").alias("b"), F.col("f").alias("g")), "b")
+        apart = F.aggregate(F.zip_with("f", "g", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        near = stored(met.where(apart <= FARTHEST).select("a", "b"), "near")
+        sides = near.join(rows.select(F.col(n).alias("a"), F.col(text).alias("t")), "a")
+        sides = sides.join(rows.select(F.col(n).alias("b"), F.col(text).alias("u")), "b")
+        return stored(_alike(sides.select("a", "b", "t", "u"), size, similarity), "alike")
+
+    # Equal segments first. What they connect is not compared again when the balls around segments meet.
+    alone = one.withColumn("c", F.col("n"))
+    links = verified(_met(alone, balls=False))
+    first = stored(components(links), "components")
+    joined = alone.drop("c").join(first, alone.n == first.node, "left").select("n", "fp", "weak", F.coalesce("root", "n").alias("c"))
+    links = links.union(verified(_met(stored(joined, "joined"), balls=True)))
+    found = stored(components(links), "components")
     named = one.join(found, one.n == found.node, "left").select("fp", F.coalesce("root", "n").alias("root"))
     named = stored(named, "named")
     member = prints.join(named, "fp").select(F.col("n").alias(n), "root")
