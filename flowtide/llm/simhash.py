@@ -12,6 +12,7 @@ value, and neighbours in that list are linked. The table look-up then skips pair
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowtide.llm.common import scan, spare, stored, texts
+from flowtide.llm.common import hash_sample, scan, spare, stored, texts
 from flowtide.llm.graph import components
 
 SEED = 42
@@ -124,54 +125,107 @@ def classes(docs: DataFrame, key: str = "doc_id", fp: str = "fp") -> DataFrame:
     return rows.join(labels, "fp").select(key, "fp", "component_id")
 
 
-# Near-duplicates of a given similarity: fingerprints of 256 bits, cut into SEGMENTS segments of 32 bits in two
-# different ways. A bit whose vote was close is the likeliest to differ in a near copy, so the ball around a
-# segment is taken over its WEAK weakest bits, on both sides: a match may differ in the weakest bits of either.
-SEGMENTS, WEAK, SHINGLE, SIMILARITY = 16, 3, 5, 0.8
-# Differing bits of 256 at a similarity of 0.8: 38 on average, with a deviation of 6.
+# Near-duplicates of a given similarity. What agrees in one of SEGMENTS segments of 32 bits of a fingerprint of 256 bits (cut in
+# two different ways) is linked first, which is cheap for dense groups; an exact join of the sets of shingles finds all the rest.
+SEGMENTS, SHINGLE, SIMILARITY = 16, 5, 0.8
+# Differing bits of 256 at a similarity of 0.8: 38 on average, with a deviation of 6. Only the first links look at this.
 FARTHEST = 70
 _ORDER = np.concatenate([np.arange(256), np.random.default_rng(5).permutation(256)]).reshape(SEGMENTS, 32)
-_SUBSETS = np.array([[(s >> k) & 1 for k in range(WEAK)] for s in range(1 << WEAK)], np.uint64)
+# Shingles that at least OFTEN of about SAMPLE documents hold come last in the order of the exact join (at most MOST of them).
+# Any order gives the same pairs; this one only keeps templates and boilerplate out of most prefixes.
+SAMPLE, OFTEN, MOST = 10_000, 5, 1_000_000
+# Rounds in which what shares a shingle of its prefix is linked to two others only, before all pairs left apart are compared.
+STARS = 2
 
 
 def _wide_votes(runs: Sequence[bytes]) -> np.ndarray:
     return np.concatenate([votes(runs, seed) for seed in (1, 2, 3, 4)])
 
 
-def _weakest(margins: np.ndarray) -> bytes:
-    """For each segment the places of its weakest bits."""
-    return np.argsort(np.abs(margins)[_ORDER], axis=1, kind="stable")[:, :WEAK].astype(np.uint8).tobytes()
+def _segments(prints: list[bytes]) -> np.ndarray:
+    """A row for each print: its segments, each with its number."""
+    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 32), axis=1, bitorder="little")[:, _ORDER]
+    base = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0].astype(np.int64)
+    return (np.arange(SEGMENTS, dtype=np.int64) << 32)[None, :] | base
 
 
-def _keys(prints: list[bytes], weak: list[bytes]) -> np.ndarray:
-    """A row for each print: all values of its segments with any of their weakest bits turned, with the segment's number."""
-    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 32), axis=1, bitorder="little")[:, _ORDER]
-    base = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0].astype(np.uint64)
-    turns = np.uint64(1) << np.frombuffer(b"".join(weak), np.uint8).reshape(-1, SEGMENTS, WEAK).astype(np.uint64)
-    masks = (turns[:, :, None, :] * _SUBSETS).sum(axis=3, dtype=np.uint64)
-    segment = (np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(32))[None, :, None]
-    return ((base[:, :, None] ^ masks) | segment).reshape(len(prints), -1).astype(np.int64)
+def _met(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of prints (n, fp) to compare first: those that share a segment, each with the least and the greatest n there."""
+
+    def build():
+        def step(batch):
+            keys = _segments(batch.column("fp").to_pylist())
+            yield {"n": np.repeat(batch.column("n").to_numpy(), keys.shape[1]), "k": keys.ravel()}
+
+        return step
+
+    keys = scan(prints.select("n", "fp"), build, "n long, k long")
+    ends = keys.groupBy("k").agg(F.min("n").alias("x"), F.max("n").alias("y")).where("x < y")
+    ends = stored(ends, "crowded")
+    met = keys.join(ends.hint("merge"), "k").select("n", F.explode(F.array("x", "y")).alias("m")).where("n <> m")
+    return stored(met.select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b")).distinct(), "met")
+
+
+def _set_of(text: str, size: int) -> np.ndarray:
+    """The hashes of a text's shingles, in order and each once."""
+    runs = shingles(text, size)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64, len(runs)).view(np.int64))
+
+
+def _frequent(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents (n, t) hold, by a sample, and their counts there."""
+
+    def build():
+        def step(batch):
+            yield {"k": np.concatenate([_set_of(t, size) for t in texts(batch, "t")] or [np.zeros(0, np.int64)])}
+
+        return step
+
+    found = scan(hash_sample(rows, "n", SAMPLE, SEED), build, "k long").groupBy("k").count()
+    found = found.where(F.col("count") >= OFTEN).limit(MOST).toArrow()
+    k, count = (found.column(c).to_numpy() for c in ("k", "count"))
+    order = np.argsort(k)
+    return k[order], count[order]
 
 
-def _met(prints: DataFrame, balls: bool) -> DataFrame:
-    """Pairs (a, b) to compare among prints (n, fp, weak, c): those of different c that share a segment, or with ``balls`` a
-    value of the balls around it. In each place everything meets the least and the greatest c that are there."""
+def _prefixes(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(n, m, i, k, short): prefixes of the sets of shingles of (n, t) in one order for all; m: size of the set, i: place of k in it.
+
+    If two sets are similar enough, the first shingle they share is in the prefixes of both, and in the ``short`` one of the set
+    that comes first by (m, n).
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(_frequent(rows, size))  # of bounded size
 
     def build():
+        often, count = shared.value
+
         def step(batch):
-            keys = _keys(batch.column("fp").to_pylist(), batch.column("weak").to_pylist())
-            # The first value of each ball is the segment itself.
-            keys = keys if balls else keys[:, :: 1 << WEAK]
-            n, c = (np.repeat(batch.column(x).to_numpy(), keys.shape[1]) for x in ("n", "c"))
-            yield {"n": n, "c": c, "k": keys.ravel()}
+            out: dict[str, list] = {c: [] for c in ("n", "m", "i", "k", "short")}
+            for n, t in zip(batch.column("n").to_pylist(), texts(batch, "t")):
+                k = _set_of(t, size)
+                if len(often) and len(k):
+                    at = np.minimum(np.searchsorted(often, k), len(often) - 1)
+                    k = k[np.lexsort((k, np.where(often[at] == k, count[at], 0)))]
+                m = len(k)
+                least = lambda share: m - math.ceil(share * m - 1e-6) + 1 if m else 0  # noqa: B023, E731
+                long = min(least(similarity), m)
+                for c, v in zip(out, (np.full(long, n), np.full(long, m, np.int32), np.arange(long, dtype=np.int32), k[:long], np.arange(long) < least(2 * similarity / (1 + similarity)))):
+                    out[c].append(v)
+            yield {c: np.concatenate(v) for c, v in out.items()} if out["n"] else {c: [] for c in out}
 
         return step
 
-    keys = scan(prints.select("n", "fp", "weak", "c"), build, "n long, c long, k long")
-    ends = keys.groupBy("k").agg(F.min(F.struct("c", "n")).alias("x"), F.max(F.struct("c", "n")).alias("y"))
-    ends = stored(ends.where("x.c < y.c"), "crowded")
-    met = keys.join(ends.hint("merge"), "k").select("n", "c", F.explode(F.array("x", "y")).alias("m")).where("c <> m.c")
-    return stored(met.select(F.least("n", "m.n").alias("a"), F.greatest("n", "m.n").alias("b")).distinct(), "met")
+    keys = stored(scan(rows, build, "n long, m int, i int, k long, short boolean"), "prefixes")
+    # Most shingles are in one prefix only; they go before anything is carried along.
+    often = stored(keys.groupBy("k").agg(F.min("n").alias("x"), F.max("n").alias("y")).where("x < y").select("k"), "often")
+    return stored(keys.join(often.hint("merge"), "k"), "shared")
+
+
+def _possible(x: str, y: str, similarity: float) -> Column:
+    """Whether sets that share their shingles at places i, and none before, can be similar enough: as many as are left must be shared."""
+    sizes = F.col(f"{x}.m") + F.col(f"{y}.m")
+    left = F.least(F.col(f"{x}.m") - F.col(f"{x}.i"), F.col(f"{y}.m") - F.col(f"{y}.i"))
+    return left * (1 + similarity) + 1e-6 >= sizes * similarity
 
 
 def _alike(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -193,48 +247,71 @@ def _alike(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the near copies of others: of each group the row of least (key, place in reading order) stays.
 
-    Groups are connected by pairs whose sets of ``size``-word shingles have at least ``similarity`` (Jaccard). Equal fingerprints,
-    those of texts without words and null among them, are one group. Candidates share a segment, exactly or in the sense above; in a
-    crowded place all are compared with its least and its greatest member, not with each other, and what is connected
-    already is not compared again.
+    Groups are connected by pairs whose sets of ``size``-word shingles have at least ``similarity`` (Jaccard); all such pairs count.
+    Equal sets, those of texts without words and null among them, are one. What is connected already is not compared again: links
+    to the ends of equal segments and of shared prefix shingles come first, then all pairs of different components that share a
+    prefix shingle at possible places are compared, however many hold it.
     """
     n, k = spare(docs, "_n"), spare(docs, "_k")
     rows = stored(docs.withColumn(n, F.monotonically_increasing_id()), "rows")
 
     def build():
         def step(batch):
-            wide = [_wide_votes(shingles(t, size)) for t in texts(batch, 1)]
+            runs = [shingles(t, size) for t in texts(batch, 1)]
             yield {
-                "n": batch.column(0), "fp": [packed(v > 0).tobytes() for v in wide], "weak": [_weakest(v) for v in wide],
+                "n": batch.column(0), "fp": [packed(_wide_votes(r) > 0).tobytes() for r in runs],
+                "e": [xxhash.xxh3_128_digest(b"\n".join(sorted(set(r)))) for r in runs],
             }
 
         return step
 
-    prints = stored(scan(rows.select(n, text), build, "n long, fp binary, weak binary"), "prints")
-    one = stored(prints.groupBy("fp").agg(F.min(F.struct("n", "weak")).alias("o")).select("fp", "o.*"), "distinct")
+    prints = stored(scan(rows.select(n, text), build, "n long, fp binary, e binary"), "prints")
+    one = stored(prints.groupBy("e").agg(F.min(F.struct("n", "fp")).alias("o")).select("e", "o.*"), "distinct")
 
     words_of = F.array(*[F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(4)])
     wide = stored(one.select("n", words_of.alias("f")), "wide")
 
     def verified(met: DataFrame) -> DataFrame:
+        sides = met.join(rows.select(F.col(n).alias("a"), F.col(text).alias("t")), "a")
+        sides = sides.join(rows.select(F.col(n).alias("b"), F.col(text).alias("u")), "b")
+        return stored(_alike(sides.select("a", "b", "t", "u"), size, similarity), "alike")
+
+    def closest(met: DataFrame) -> DataFrame:
         met = met.join(wide.select(F.col("n").alias("a"), F.col("f").alias("f")), "a")
         met = met.join(wide.select(F.col("n").alias("b"), F.col("f").alias("g")), "b")
         apart = F.aggregate(F.zip_with("f", "g", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = stored(met.where(apart <= FARTHEST).select("a", "b"), "near")
-        sides = near.join(rows.select(F.col(n).alias("a"), F.col(text).alias("t")), "a")
-        sides = sides.join(rows.select(F.col(n).alias("b"), F.col(text).alias("u")), "b")
-        return stored(_alike(sides.select("a", "b", "t", "u"), size, similarity), "alike")
+        return stored(met.where(apart <= FARTHEST).select("a", "b"), "near")
 
-    # Equal segments first. What they connect is not compared again when the balls around segments meet.
-    alone = one.withColumn("c", F.col("n"))
-    links = verified(_met(alone, balls=False))
-    first = stored(components(links), "components")
-    joined = alone.drop("c").join(first, alone.n == first.node, "left").select("n", "fp", "weak", F.coalesce("root", "n").alias("c"))
-    links = links.union(verified(_met(stored(joined, "joined"), balls=True)))
+    links = verified(closest(_met(one)))
     found = stored(components(links), "components")
-    named = one.join(found, one.n == found.node, "left").select("fp", F.coalesce("root", "n").alias("root"))
+    # The exact join. A few rounds of stars link what is left of dense groups, so that their pairs need not be listed.
+    sets = one.select("n").join(rows.select(F.col(n).alias("n"), F.col(text).alias("t")), "n")
+    keys = _prefixes(sets, size, similarity)
+    told = met = None
+    for turn in range(STARS + 1):
+        named = keys.join(found.withColumnRenamed("node", "n"), "n", "left").withColumn("c", F.coalesce("root", "n")).drop("root")
+        # A place where all are connected has nothing left to compare.
+        apart = named.groupBy("k").agg(F.min(F.struct("c", "m", "n", "i")).alias("x"), F.max(F.struct("c", "m", "n", "i")).alias("y"))
+        apart = stored(apart.where("x.c < y.c"), "apart")
+        named = stored(named.join(apart.select("k").hint("merge"), "k"), "named")
+        if turn < STARS:
+            met = named.alias("p").join(apart.select("k", F.explode(F.array("x", "y")).alias("q")).hint("merge"), "k")
+            met = met.where((F.col("p.c") != F.col("q.c")) & _possible("p", "q", similarity))
+            met = met.select(F.least("p.n", "q.n").alias("a"), F.greatest("p.n", "q.n").alias("b"))
+        else:
+            p, q = named.where("short").alias("p"), named.alias("q")
+            after = F.struct("p.m", "p.n") < F.struct("q.m", "q.n")
+            met = p.join(q, (F.col("p.k") == F.col("q.k")) & (F.col("p.c") != F.col("q.c")) & after & _possible("p", "q", similarity))
+            met = met.select(F.least("p.n", "q.n").alias("a"), F.greatest("p.n", "q.n").alias("b"))
+        met = stored(met.distinct(), "met")
+        # Pairs that a round found unlike are not compared once more.
+        new = met if told is None else stored(met.join(told.hint("merge"), ["a", "b"], "left_anti"), "new")
+        told = met if told is None else told.union(new)
+        links = links.union(verified(new))
+        found = stored(components(links), "components")
+    named = one.join(found, one.n == found.node, "left").select("e", F.coalesce("root", "n").alias("root"))
     named = stored(named, "named")
-    member = prints.join(named, "fp").select(F.col("n").alias(n), "root")
+    member = prints.join(named, "e").select(F.col("n").alias(n), "root")
     least = stored(
         member.join(rows.select(n, F.col(key).alias(k)), n).groupBy("root")
         .agg(F.count("*").alias("m"), F.min(F.struct(F.col(k).isNull(), F.col(k), F.col(n).alias("n"))).alias("o")).where("m > 1").select("root", F.col("o.n").alias("s")), "stay",
