@@ -28,3 +28,17 @@ def test_copies_among_texts_of_one_template(spark):
     want, links = wanted(texts)
     assert len(links) == len(want) == 100
     assert stays(spark, texts) == want
+
+
+def test_short_texts_and_pairs_at_the_threshold(spark):
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = []
+    for size in (4, 8, 40, 100, 250):  # shingles of the shorter text; the longer one has a quarter more, a similarity of 0.8
+        for _ in range(20):
+            body = [word() for _ in range(size // 4 + size + 4)]
+            texts += [" ".join(body[: size + 4]), " ".join(body)]
+    texts += ["one", "One ", "two", "a b c d e", "a b c d f", None, ""]
+    want, links = wanted(texts)
+    assert len(links) == 102
+    assert stays(spark, texts) == want
