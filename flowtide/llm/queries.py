@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 MODULES = (
     "q_bpe", "q_brown", "q_decontaminate", "q_html", "q_importance", "q_lattice", "q_lines", "q_passages", "q_simhash", "q_toxicity",
-    "q_trie", "q_whitening",
+    "q_strings", "q_trie", "q_whitening",
 )
 
 _QUERIES: dict[str, Callable] = {}

@@ -66,8 +66,7 @@ def test_random(spark, turns, kinds):
 
 
 @pytest.mark.parametrize("partitions", [1, 3, 40])
-def test_copies_over_many_shards(spark, partitions, monkeypatch):
-    monkeypatch.setattr(conversation_trie, "CHUNK", 3)
+def test_copies_over_many_shards(spark, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     rows = [(c, t, "user", f"turn {t}" if c % 3 else f"turn {t} of {c % 9}", "", 0) for c in range(1, 120) for t in range(1 + c % 4)]
@@ -93,6 +92,18 @@ def test_odd_rows(spark):
     assert found(spark, []) == set() == found(spark, rows[:1])
 
 
+def test_ends_in_chunks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(conversation_trie, "CHUNK", 3)
+    rows = [r for r in conversation_trie.shard_rows([([], [], list(range(10))), ([7], [2], [11])], 4) if r["kind"] == conversation_trie.ENDS]
+    assert [r["convs"] for r in rows] == ["0,1,2", "3,4,5", "6,7,8", "9", "11"] and len({r["key"] for r in rows}) == 2
+    step, finish = conversation_trie._digests()
+    batch = pa.RecordBatch.from_pydict({c: [r[c] for r in rows] for c in ("key", "shard", "chunk", "convs")})
+    got = [*step(batch), *finish()]
+    assert [g["ends_sha256"][0] for g in got] == [hashlib.sha256(x.encode()).hexdigest() for x in ("0,1,2,3,4,5,6,7,8,9", "11")]
+
+
 def test_ternary_tree():
     rnd = random.Random(4)
     found = sorted({tuple(rnd.randrange(5) for _ in range(rnd.randrange(7))) for _ in range(200)})
