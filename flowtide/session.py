@@ -62,16 +62,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``materialise`` once all that reads them is written.
-
-    Also lets Spark drop the shuffle files of jobs that are over, which it does when their objects are collected.
-    """
+    """Delete tables made by ``materialise`` once all that reads them is written, and release what Spark still holds for finished jobs."""
     for table in tables:
         path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs that are over: it does so once their objects have been collected.
+
+    The first collection frees what Python held, the second what hung on that.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def _own_folder(spark: SparkSession) -> str:
