@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.llm.common import scan, spare, stored
-from flowtide.session import discard
+from flowtide.session import discard, release
 
 LENGTH = 50
 GRAM = 20
@@ -150,7 +150,7 @@ def _cut_pieces():
             body = memoryview(body.as_buffer())
             yield {
                 "gram": [f["gram"] for f in found], "piece": [f["piece"] for f in found], "n": [f["n"] for f in found],
-                "least": [f["least"] for f in found],
+                "least": [f["least"] for f in found], "hot": [f["hot"] for f in found],
                 "body": [bytes(body[f["start"] : f["start"] + f["n"] + LENGTH - 1]) for f in found],
             }
 
@@ -311,6 +311,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     others. Rows with equal doc_id take nothing from each other, whether their texts are equal or not. Strings are judged on the
     input. An empty table gives an empty result; columns of docs named like one of the five are replaced.
     """
+    spark = docs.sparkSession
     rest = [c for c in docs.columns if c != "text" and c not in _KEPT]
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
@@ -320,6 +321,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     seen = scan(thin.select("body"), _all_grams, "gram long").groupBy("gram").count().where("count > 1")
     seen = stored(seen.select("gram"), "grams")
+    release(spark)
     found = scan(thin, _all_spots, "doc_id long, mark long, start long, n int, gram long, piece long")
     found = stored(found.join(seen.hint("shuffle_hash"), "gram", "left_semi"), "spots")
     discard(seen)
@@ -327,6 +329,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     lead = F.min(F.struct("doc_id", "mark", "start")).alias("lead")
     different = found.groupBy("gram", "piece", "n").agg(lead)
     different = stored(different.select("gram", "piece", "n", F.col("lead.doc_id").alias("least"), "lead.mark", "lead.start"), "pieces")
+    release(spark)
     shared = different.groupBy("gram").count().where("count > 1")
     wanted = different.join(shared, "gram").select(
         F.col("least").alias("doc_id"), "mark",
@@ -336,11 +339,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     wanted = thin.join(wanted, ["doc_id", "mark"])
     if not unique:
         wanted = wanted.dropDuplicates(["doc_id", "mark"])
-    cool, hot = ("filter(found, f -> not f.hot)", "filter(found, f -> f.hot)")
-    wanted = stored(wanted.select("body", "found"), "wanted")
-    pieces, warm = (scan(wanted.select("body", F.expr(f).alias("found")), _cut_pieces, _PIECE) for f in (cool, hot))
-    runs = stored(earlier_strings(pieces, warm), "runs")
-    discard(wanted)
+    pieces = stored(scan(wanted.select("body", "found"), _cut_pieces, f"{_PIECE}, hot boolean"), "shared")
+    release(spark)
+    runs = stored(earlier_strings(pieces.where("not hot"), pieces.where("hot")), "runs")
+    discard(pieces)
 
     known = different.select("gram", "piece", "n", "least").join(runs, ["gram", "piece", "n"], "left")
     tail = LENGTH - 1
