@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from flowtide.session import discard, release
 LENGTH = 50
 GRAM = 20
 HOT = 10_000
-BLOCK = 1 << 22  # starts looked at together
-SHARD_BYTES = 1 << 21  # text of a transform, up to the end of its last gram
+BLOCK = 1 << 16  # starts looked at together: what the caches hold
+SHARD_BYTES = 1 << 18  # text of a transform, up to the end of its last gram
 
 _PLACES = 24  # bits of a place in a block
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -84,34 +85,45 @@ def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
     return (keyed & low).astype(np.int64)
 
 
-def spots(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def spots(data: np.ndarray, ends: np.ndarray, pieces: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
     """(text, start in data, number of starts, gram, piece) arrays for texts that lie one behind the other in ``data``.
 
-    ends: where each text ends. A piece is LENGTH - 1 bytes longer than its number of starts.
+    ends: where each text ends. A piece is LENGTH - 1 bytes longer than its number of starts; it is left out without ``pieces``.
     """
     for at in range(0, max(0, len(data) - LENGTH + 1), BLOCK):
         part = data[at : at + BLOCK + LENGTH - 1]
         hashes = grams(part, GRAM)
         place = least_places(hashes, LENGTH - GRAM + 1)
-        start = np.arange(len(place))
-        text = np.searchsorted(ends, start + at, side="right")
-        inside = ends[text] - at - start >= LENGTH
-        start, text, place = start[inside], text[inside], place[inside]
+        inside = np.ones(len(place), bool)
+        for end in ends[np.searchsorted(ends, at) :] - at:
+            if end - LENGTH + 1 >= len(place):
+                break
+            inside[max(0, end - LENGTH + 1) : end] = False  # strings that would run on into the next text
+        start = np.flatnonzero(inside)
         if not len(start):
             continue
-        first = np.flatnonzero(np.r_[True, (np.diff(place) != 0) | (np.diff(text) != 0)])
-        count = np.diff(np.r_[first, len(start)])
+        place = place[start]
+        first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (start[1:] - start[:-1] != 1)])
+        count = np.diff(first, append=len(start))
         begin = start[first]
-        yield text[first], begin + at, count, hashes[place[first]].view(np.int64), _pieces(part, begin, count + LENGTH - 1)
+        text = np.searchsorted(ends, begin + at, side="right")
+        piece = (_pieces(part, begin, count + LENGTH - 1),) if pieces else ()
+        yield text, begin + at, count, hashes[place[first]].view(np.int64), *piece
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of pieces, and of its inverse, for all places of a block."""
+    size = BLOCK + LENGTH
+    both = (np.full(size, b, np.uint64) for b in (_OTHER, pow(_OTHER, -1, 1 << 64)))
+    return tuple(np.cumprod(np.r_[np.ones(1, np.uint64), b[1:]], dtype=np.uint64) for b in both)
 
 
 def _pieces(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hashes of pieces of any length, from prefix sums over powers of an odd base."""
-    power = np.full(len(data), _OTHER, np.uint64)
-    back = np.full(len(data), pow(_OTHER, -1, 1 << 64), np.uint64)
-    power[0] = back[0] = 1
-    power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
-    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(_TABLE_2[data] * power, dtype=np.uint64)]
+    power, back = _powers()
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE_2[data] * power[: len(data)], out=sums[1:])
     return _mixed((sums[begin + size] - sums[begin]) * back[begin] + size.astype(np.uint64)).view(np.int64)
 
 
@@ -136,7 +148,7 @@ def _all_spots():
 def _all_grams():
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         data, ends = _bytes_of(batch, "body")
-        for text, _, _, gram, _ in spots(data, ends):
+        for text, _, _, gram in spots(data, ends, pieces=False):
             order = np.lexsort((gram, text))  # a gram counts once for each text
             text, gram = text[order], gram[order]
             yield {"gram": gram[np.r_[True, (np.diff(text) != 0) | (np.diff(gram) != 0)]]}
@@ -146,13 +158,14 @@ def _all_grams():
 
 def _cut_pieces():
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        for body, found in zip(batch.column("body"), batch.column("found").to_pylist()):
-            body = memoryview(body.as_buffer())
-            yield {
-                "gram": [f["gram"] for f in found], "piece": [f["piece"] for f in found], "n": [f["n"] for f in found],
-                "least": [f["least"] for f in found], "hot": [f["hot"] for f in found],
-                "body": [bytes(body[f["start"] : f["start"] + f["n"] + LENGTH - 1]) for f in found],
-            }
+        data, ends = _bytes_of(batch, "body")
+        wanted = batch.column("found")
+        found = {f.name: c for f, c in zip(wanted.type.value_type, wanted.flatten().flatten())}
+        text = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy(zero_copy_only=False))
+        begin = found["start"].to_numpy() + np.r_[0, ends[:-1]][text] if len(text) else np.zeros(0, np.int64)
+        end = begin + found["n"].to_numpy() + LENGTH - 1
+        whole = data.tobytes()
+        yield {c: found[c] for c in ("gram", "piece", "n", "least", "hot")} | {"body": [whole[a:b] for a, b in zip(begin.tolist(), end.tolist())]}
 
     return step
 
@@ -344,14 +357,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     runs = stored(earlier_strings(pieces.where("not hot"), pieces.where("hot")), "runs")
     discard(pieces)
 
-    known = different.select("gram", "piece", "n", "least").join(runs, ["gram", "piece", "n"], "left")
+    # A table of its own, so that the join with the spots has two plain sides and a common piece can be split.
+    known = stored(different.select("gram", "piece", "n", "least").join(runs, ["gram", "piece", "n"], "left"), "known")
+    discard(different, runs)
     tail = LENGTH - 1
     spans = F.when(F.col("doc_id") > F.col("least"), F.expr(f"array(named_struct('a', start, 'b', start + n + {tail}))")).otherwise(
         F.expr(f"transform(runs, r -> named_struct('a', start + r.a, 'b', start + r.b + {tail}))")
     )
     removed = found.join(known, ["gram", "piece", "n"]).select("doc_id", "mark", spans.alias("s")).where("size(s) > 0")
     removed = stored(removed.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
-    discard(found, different, runs)
+    discard(found, known)
 
     key, other, data, spans = (spare(docs, c) for c in ("key", "mark", "body", "spans"))
     sides = removed.select(F.col("doc_id").alias(key), F.col("mark").alias(other), F.col("spans").alias(spans))

@@ -105,8 +105,9 @@ def test_common_prefixes(kinds):
 def test_spots_in_blocks(monkeypatch):
     texts = [t.encode() for t in texts_with_repeats(3, 40, "abc")]
     data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
-    for block in (1 << 22, 70):
+    for block in (70, 1 << 16):
         monkeypatch.setattr(bwt_dedup, "BLOCK", block)
+        bwt_dedup._powers.cache_clear()
         starts, pieces = [], {}
         for text, start, n, gram, piece in (s for many in bwt_dedup.spots(data, ends) for s in zip(*many)):
             assert start + n + 49 <= ends[text] and start >= ends[text] - len(texts[text])
