@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from harness import q_alerts, q_flows, q_labelled, q_models, q_streams, q_telemetry  # noqa: F401
+    from harness import q_alerts, q_counters, q_flows, q_labelled, q_models, q_sketches, q_streams, q_telemetry  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
