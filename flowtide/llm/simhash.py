@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 
 from flowtide.llm.common import hash_sample, scan, spare, stored, texts
 from flowtide.llm.graph import components
+from flowtide.session import discard, release
 
 SEED = 42
 BLOCK = 8192  # shingles whose bits are counted at once
@@ -217,8 +218,12 @@ def _prefixes(rows: DataFrame, size: int, similarity: float) -> DataFrame:
 
     keys = stored(scan(rows, build, "n long, m int, i int, k long, short boolean"), "prefixes")
     # Most shingles are in one prefix only; they go before anything is carried along.
+    release(rows.sparkSession)
     often = stored(keys.groupBy("k").agg(F.min("n").alias("x"), F.max("n").alias("y")).where("x < y").select("k"), "often")
-    return stored(keys.join(often.hint("merge"), "k"), "shared")
+    release(rows.sparkSession)
+    shared_keys = stored(keys.join(often.hint("merge"), "k"), "shared")
+    discard(keys, often)
+    return shared_keys
 
 
 def _possible(x: str, y: str, similarity: float) -> Column:
@@ -274,7 +279,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     def verified(met: DataFrame) -> DataFrame:
         sides = met.join(rows.select(F.col(n).alias("a"), F.col(text).alias("t")), "a")
         sides = sides.join(rows.select(F.col(n).alias("b"), F.col(text).alias("u")), "b")
-        return stored(_alike(sides.select("a", "b", "t", "u"), size, similarity), "alike")
+        release(docs.sparkSession)
+        good = stored(_alike(sides.select("a", "b", "t", "u"), size, similarity), "alike")
+        release(docs.sparkSession)
+        return good
 
     def closest(met: DataFrame) -> DataFrame:
         met = met.join(wide.select(F.col("n").alias("a"), F.col("f").alias("f")), "a")
@@ -286,6 +294,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     found = stored(components(links), "components")
     # The exact join. A few rounds of stars link what is left of dense groups, so that their pairs need not be listed.
     sets = one.select("n").join(rows.select(F.col(n).alias("n"), F.col(text).alias("t")), "n")
+    release(docs.sparkSession)
     keys = _prefixes(sets, size, similarity)
     told = met = None
     for turn in range(STARS + 1):
@@ -304,6 +313,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
             met = p.join(q, (F.col("p.k") == F.col("q.k")) & (F.col("p.c") != F.col("q.c")) & after & _possible("p", "q", similarity))
             met = met.select(F.least("p.n", "q.n").alias("a"), F.greatest("p.n", "q.n").alias("b"))
         met = stored(met.distinct(), "met")
+        discard(named, apart)
         # Pairs that a round found unlike are not compared once more.
         new = met if told is None else stored(met.join(told.hint("merge"), ["a", "b"], "left_anti"), "new")
         told = met if told is None else told.union(new)
