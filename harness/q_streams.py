@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide.session import shared_folder
+from flowtide.streaming.alert_table import AlertTable
 from flowtide.streaming.keyed import FlowStream, expired_blocks, rocksdb
 from harness import views as V
+from harness.q_alerts import _COLS
 from harness.q_flows import RECORD, quoted
 from harness.registry import query
-from harness.sql import on_blocks, on_records
+from harness.sql import on_alerts, on_blocks, on_records
 
 FILES = 4
 HOUR_US = 3_600_000_000
@@ -70,3 +73,36 @@ def _expired_stream(spark, sf):
         )
     out.awaitTermination()
     return spark.read.parquet(f"{path}/out")
+
+
+BATCHES = 10
+_ARRIVAL = f"version * 7919 % {BATCHES}"
+
+
+def alert_batches(spark: SparkSession, sf: str) -> AlertTable:
+    """The alert versions in ten batches, in no order of versions."""
+    alerts = AlertTable(spark, f"{work_folder(spark)}/alerts", buckets=16)
+    versions = V.alert_events(spark, sf)
+    for batch in range(BATCHES):
+        alerts.apply(versions.where(f"{_ARRIVAL} = {batch}"), batch)
+    return alerts
+
+
+@query("alert_lookup_bucket", on_alerts(f"select {quoted(_COLS)} from cur where finding_id = '42'"))
+def _lookup_bucket(spark, sf):
+    """One bucket is read."""
+    return alert_batches(spark, sf).lookup("42").select(*_COLS)
+
+
+@query("alert_stats_incremental", on_alerts("""
+select batch, count(*) as total_alerts, count(*) filter (status = 'New') as n_new, count(*) filter (status = 'Investigating') as n_investigating,
+  count(*) filter (status = 'Resolved') as n_resolved, count(*) filter (severity in ('CRITICAL', 'HIGH')) as high_priority_count
+from upto group by batch""", (f"""
+upto as (select batch, finding_id, coalesce(status, 'New') as status, severity
+  from av join (select unnest(range({BATCHES})) as batch) b on {_ARRIVAL} <= batch
+  qualify row_number() over (partition by batch, finding_id order by version desc) = 1)""",)))
+def _stats_incremental(spark, sf):
+    """The statistics after each batch, from counts that only the rows of a batch change."""
+    alerts = alert_batches(spark, sf)
+    each = [alerts.statistics(batch).withColumn("batch", F.lit(batch).cast("long")) for batch in range(BATCHES)]
+    return reduce(DataFrame.unionByName, each)
