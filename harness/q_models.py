@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions.columns import round_even
 from flowtide.operators import evaluation as ev
 from flowtide.operators import scoring, training
 from flowtide.operators.cleaning import Preprocessor
+from flowtide.plans.fit import TREE, fit_baselines
 from flowtide.schemas import ATTACK_CLASSES
+from flowtide.session import materialise, shared_folder
 from flowtide.sources import models as model_io
 from harness import views as V
 from harness.registry import query
@@ -153,36 +159,133 @@ def evaluated(model, test):
     return ev.binary_metrics(model.transform(test).withColumn("p", vector_to_array("probability")[1]))
 
 
-@query("train_logreg")
+_SIZES = "count(*) filter (in_train) as n_train, count(*) filter (not in_train) as n_test, count(*) filter (not in_train and label = 1) as positives"
+
+
+def tested(model, test) -> DataFrame:
+    """One row: sizes by the confusion counts, and whether the model beats the more frequent class."""
+    scored = model.transform(test).select("label", vector_to_array("probability").alias("p"))
+    said = F.col("p")[1] >= 0.5
+    one = scored.agg(
+        *[F.count_if(c).alias(n) for n, c in (
+            ("tp", said & (F.col("label") == 1)), ("fp", said & (F.col("label") == 0)),
+            ("tn", ~said & (F.col("label") == 0)), ("fn", ~said & (F.col("label") == 1)))],
+        F.bool_and((F.col("p")[0] + F.col("p")[1] - 1 < 1e-9) & F.col("p")[1].between(0, 1)).alias("probabilities"),
+    )
+    return one.select(
+        (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n_test"), (F.col("tp") + F.col("fn")).alias("positives"), "probabilities",
+        (F.col("tp") + F.col("tn") >= F.greatest(F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp"))).alias("beats_majority"),
+    )
+
+
+def stationary(model, rows: DataFrame, c: float = 1.0) -> DataFrame:
+    """Whether the gradient of the penalised mean loss vanishes at a logistic model: what only the optimum has. One row.
+
+    rows: (features, label), and weight if the fit was weighted.
+    """
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
+    scored = model.transform(rows).select(vector_to_array("features").alias("x"), (weight * (vector_to_array("probability")[1] - F.col("label"))).alias("e"), weight.alias("w"))
+    size = len(model.coefficients)
+    sums = scored.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum("e").alias("g"), *[F.sum(F.col("x")[k] * F.col("e")).alias(f"g{k}") for k in range(size)])
+    slopes = [F.abs(F.col(f"g{k}") / F.col("w") + F.lit(float(b)) / (F.lit(c) * F.col("n"))) for k, b in enumerate(model.coefficients)]
+    return sums.select((F.greatest(F.abs(F.col("g") / F.col("w")), *slopes) < 1e-3).alias("stationary"))
+
+
+@query("train_logreg", on_labelled(f"""
+select {_SIZES}, true as probabilities, true as beats_majority, true as stationary, true as balanced_stationary from lf"""))
 def _logreg(spark, sf):
+    """Both fits, plain and with class weights, are where their gradients vanish; the plain one is tested."""
     train, test, _ = matrices(spark, sf)
-    return evaluated(training.train_logistic(train), test)
+    train = materialise(train, "matrix")  # read by every step of the fits
+    plain, weighted = training.train_logistic(train), training.train_logistic(train, balanced=True)
+    parts = [
+        tested(plain, test), stationary(plain, train),
+        stationary(weighted, training.class_weights(train)).withColumnRenamed("stationary", "balanced_stationary"),
+    ]
+    return reduce(DataFrame.crossJoin, parts, train.agg(F.count(F.lit(1)).alias("n_train")))  # one row each
+
 
+def shape(nodes: DataFrame) -> DataFrame:
+    """One row about exported trees: their number, and whether each is a whole binary tree with shares that sum to one in its leaves."""
+    leaf = F.col("probs").isNotNull()
+    per = nodes.groupBy("tree").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(leaf).alias("leaves"),
+        F.bool_and(~leaf | (F.abs(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9)).alias("shares"),
+        F.bool_and(leaf | ((F.col("left") > F.col("node")) & (F.col("right") > F.col("left")))).alias("below"),
+    )
+    return per.agg(F.count(F.lit(1)).alias("trees"), F.bool_and((F.col("n") == 2 * F.col("leaves") - 1) & F.col("shares") & F.col("below")).alias("whole"))
+
+
+def walked(spark, nodes: DataFrame, model, rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows whose probabilities by the exported trees differ from the fitted model's by more than rounding; one row."""
+    classes = tuple(str(k) for k in range(model.numClasses))
+    ensemble = scoring.Ensemble.from_table(nodes, features=tuple(names), classes=classes)
+    scored = model.transform(rows).select(vector_to_array("probability").alias("p"), vector_to_array("features").alias("x"))
+    columns = scored.select("p", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
+    apart = F.exists(F.zip_with("p", "probs", lambda a, b: F.abs(a - b)), lambda d: F.coalesce(d > 1e-9, F.lit(True)))
+    return scoring.score(columns, ensemble).agg(F.count_if(apart).alias("mismatches"))
 
-@query("train_tree")
+
+@query("train_tree", on_labelled(f"""
+select {_SIZES}, true as probabilities, true as beats_majority, 1 as trees, true as whole, 0 as mismatches, true as deep_enough, true as large_enough from lf"""))
 def _tree(spark, sf):
-    train, test, _ = matrices(spark, sf)
-    return evaluated(training.train_tree(train), test)
+    """The tree keeps to its depth and leaf size, and its exported nodes score like the fitted model."""
+    train, test, prep = matrices(spark, sf)
+    train = materialise(train, "matrix")
+    model = training.train_tree(train)
+    names = [f"f{i}" for i in range(len(prep.names))]
+    nodes = materialise(training.export_ensemble(spark, model, names), "nodes")
+    leaves = model.transform(train).groupBy("rawPrediction").count()  # leaves of equal counts are one group
+    limits = leaves.agg((F.min("count") >= 10).alias("large_enough")).withColumn("deep_enough", F.lit(0 < model.depth <= 10))
+    parts = [tested(model, test), shape(nodes), walked(spark, nodes, model, test, names), limits]
+    return reduce(DataFrame.crossJoin, parts, train.agg(F.count(F.lit(1)).alias("n_train")))  # one row each
 
 
-@query("train_ensemble")
+@query("train_ensemble", on_labelled("""
+select count(*) filter (not in_train) as n_test, 15 as trees, true as whole, 0 as mismatches, true as deep_enough, true as beats_majority from lf"""))
 def _ensemble(spark, sf):
-    """Fit, export to node rows, and score the test rows with the compiled expressions."""
+    """Fit, export to node rows, and score the test rows with the compiled expressions: as the fitted model does."""
     train, test, prep = matrices(spark, sf)
-    forest = training.train_ensemble(train.withColumn("class_index", training.class_index("attack_cat")))
+    indexed = materialise(train.withColumn("class_index", training.class_index("attack_cat")), "matrix")
+    forest = training.train_ensemble(indexed)
     names = [f"f{i}" for i in range(len(prep.names))]
-    nodes = training.export_ensemble(spark, forest, names)
-    rows = prep.transform(V.labelled_flows(spark, sf, "test"), ["id", "attack_cat"]).select(
-        "id", "attack_cat", *[F.col("features")[i].alias(n) for i, n in enumerate(names)]
-    )
-    out = scoring.score(rows, scoring.Ensemble.from_table(nodes, features=tuple(names)))
-    return ev.multiclass_metrics(out, F.col("attack_cat"), F.col("predicted"))
+    nodes = materialise(training.export_ensemble(spark, forest, names), "nodes")
+    said = forest.transform(test.withColumn("class_index", training.class_index("attack_cat")))
+    right = said.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("prediction") == F.col("class_index")).alias("hits"))
+    most = test.groupBy("attack_cat").count().agg(F.max("count").alias("most"))
+    depth = max(t.depth for t in forest.trees)
+    one = right.crossJoin(most).select("n_test", (F.col("hits") >= F.col("most")).alias("beats_majority"), F.lit(0 < depth <= 5).alias("deep_enough"))
+    return reduce(DataFrame.crossJoin, [shape(nodes), walked(spark, nodes, forest, test, names)], one)  # one row each
+
 
+_BUNDLE = on_labelled("select count(*) as n_test, 0 as mismatches, true as same_statistics from lf where not in_train")
 
-@query("model_bundle_io")
+
+@query("model_bundle_io", _BUNDLE)
+@query("pipeline_bundle_io", _BUNDLE)
 def _bundle(spark, sf):
-    """Fit, save, load, and score with the loaded pair of preprocessor and model."""
+    """Fit, save and load: the loaded pair of preprocessor and model scores raw rows like the pair that was saved."""
     train, test, prep = matrices(spark, sf)
-    path = model_io.save_bundle(spark, prep, training.train_tree(train), "DecisionTreeClassifier")
-    loaded = model_io.load_bundle(spark, path)
-    return evaluated(loaded.model, loaded.preprocessor.vectors(V.labelled_flows(spark, sf, "test"), ["id", "label"]))
+    model = training.train_tree(train)
+    loaded = model_io.load_bundle(spark, model_io.save_bundle(spark, prep, model, "DecisionTreeClassifier"))
+    raw = V.labelled_flows(spark, sf, "test")
+    before = model.transform(test).select("id", F.col("probability").alias("p"))
+    after = loaded.model.transform(loaded.preprocessor.vectors(raw, ["id"])).select("id", F.col("probability").alias("q"))
+    both = before.join(after, "id", "full")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_test"), F.count_if(~F.col("p").eqNullSafe(F.col("q"))).alias("mismatches")
+    ).withColumn("same_statistics", F.lit(loaded.preprocessor == prep))
+
+
+@query("champion_fitted", on_labelled("""
+select true as by_f1, true as above_chance, 2 as candidates, count(*) filter (not in_train) as n_test from lf"""))
+def _champion_fitted(spark, sf):
+    """Two fitted and stored classifiers: the champion has the greater F1 of both on the test rows, the tree on a draw."""
+    train, test = (V.labelled_flows(spark, sf, s) for s in ("train", "test"))
+    fitted = fit_baselines(train, test, f"{shared_folder(spark)}/flowtide/baselines-{uuid.uuid4().hex}")
+    f1 = {name: m["f1_score"] for name, m in fitted.metrics.items()}
+    best = max(f1, key=lambda name: (f1[name], name == TREE))
+    return test.agg(F.count(F.lit(1)).alias("n_test")).select(
+        "n_test", F.lit(fitted.champion == best).alias("by_f1"), F.lit(len(f1)).alias("candidates"),
+        F.lit(all(m["roc_auc"] > 0.5 for m in fitted.metrics.values())).alias("above_chance"),
+    )
