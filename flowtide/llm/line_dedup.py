@@ -6,6 +6,7 @@ fingerprint. So two places that agree over ``gram + window - 1`` lines have a fi
 the same distance from their start. Fingerprints that occur once are dropped. Around every other one the match is
 extended both ways: the runs of guaranteed length that hold it are looked up, and a run that has
 occurred before is a repetition. Overlapping runs make up the whole repeated stretch, all of which is deleted.
+A line of LONG words or more is a passage in itself: it goes if it has occurred before, whatever stands around it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from flowtide.llm.common import spare, stored
 
 GRAM, WINDOW = 1, 2
+LONG = 50
 
 
 def _digest(lines: Column) -> Column:
@@ -33,12 +35,17 @@ def fingerprints(hashes: Column, window: int) -> Column:
     return F.when(F.size(hashes) > 0, F.array_distinct(chosen)).otherwise(F.array().cast("array<int>"))
 
 
-def repeats(docs: DataFrame, key: str, lines: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def _is_long(line: Column, words: int) -> Column:
+    """Whether a line has that many words; short ones are not looked at."""
+    return F.when(F.char_length(line) >= 2 * words - 1, F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= words).otherwise(False)
+
+
+def repeats(docs: DataFrame, key: str, lines: str, gram: int = GRAM, window: int = WINDOW, words: int = LONG) -> DataFrame:
     """(key, gone array<int>) of documents with repeated runs; gone: places in ``lines`` to delete, in order.
 
     ``key`` is unique and gives the order in which runs count as earlier. A place is gone if it lies in
-    a run of at least ``gram + window - 1`` lines that also occurs at an earlier place, of this document or
-    of one with a smaller key.
+    a run of at least ``gram + window - 1`` lines, or is a line of ``words`` words or more, that also occurs at an earlier place,
+    of this document or of one with a smaller key.
     """
     least = gram + window - 1
     size = F.size(lines)
@@ -59,21 +66,28 @@ def repeats(docs: DataFrame, key: str, lines: str, gram: int = GRAM, window: int
     )
     chosen = stored(long.select("k", F.explode(chosen).alias("f")).select("k", "f.*"), "fingerprints")
     shared = stored(chosen.groupBy("h").count().where("count > 1").select("h"), "shared")
-    runs = stored(chosen.join(shared.hint("merge"), "h").select("k", F.explode("x").alias("x")).select("k", "x.*"), "runs")
+    runs = chosen.join(shared.hint("merge"), "h").select("k", F.explode("x").alias("x")).select("k", "x.*", F.lit(least).alias("m"))
+    single = F.filter(
+        F.transform(lines, lambda x, i: F.when(_is_long(x, words), F.named_struct(F.lit("s"), i, F.lit("r"), _digest(F.array(x))))), lambda x: x.isNotNull()
+    )
+    singles = docs.select(F.col(key).alias("k"), F.explode(single).alias("x")).select("k", "x.*", F.lit(1).alias("m"))
+    runs = stored(runs.unionByName(singles), "runs")
     first = stored(
         runs.groupBy("r").agg(F.min(F.struct("k", "s")).alias("first"), F.max(F.struct("k", "s")).alias("last")).where("first < last"), "first"
     )
     later = runs.join(first.drop("last"), "r").where(F.struct("k", "s") > F.col("first"))
-    gone = F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("s") + least - 1)))
+    gone = F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("s") + F.col("m") - 1)))
     return later.groupBy("k").agg(F.array_sort(F.array_distinct(gone)).alias("gone")).withColumnRenamed("k", key)
 
 
 def dedup(
     docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW,
-    keep: Sequence[str] | None = None,
+    keep: Sequence[str] | None = None, words: int = LONG,
 ) -> DataFrame:
     """Columns ``keep`` of docs (all by default) with text without repeated runs, n_lines, n_removed and removed.
 
+    A run has ``gram + window - 1`` lines or more, or is one line of ``words`` words or more; shorter single lines stay.
+
     Runs count as earlier by (key, place); rows of equal or null key (null comes first) follow the order in
     which they are read. Lines end at \\n. Lines are compared as
     they are but for white space at both ends; blank lines belong to no run and stay. removed: the
@@ -89,7 +103,7 @@ def dedup(
     full = F.filter(F.transform(lines, lambda x, i: F.named_struct(F.lit("i"), i, F.lit("x"), F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda p: p["x"] != "")
     parts = rows.select(F.struct(F.col(key).alias("a"), F.col(n).alias("b")).alias("k"), F.col(n).alias("_n"), full.alias("f"))
     parts = parts.select("k", "_n", F.transform("f", lambda p: p["x"]).alias("l"), F.transform("f", lambda p: p["i"]).alias("i"))
-    gone = repeats(parts, "k", "l", gram, window).select(F.col("k.b").alias("_n"), "gone")
+    gone = repeats(parts, "k", "l", gram, window, words).select(F.col("k.b").alias("_n"), "gone")
     places = parts.select("_n", "i").join(gone, "_n").select(
         "_n", F.transform("gone", lambda g: F.element_at("i", g + 1)).alias("removed")
     )

@@ -21,8 +21,11 @@ placed as (select *, row_number() over (partition by rid order by i) p from full
 runs as (
   select a.rid, a.p, a.i i1, b.i i2, row_number() over (partition by a.x, b.x order by a.rid, a.p) nth
   from placed a join placed b on a.rid = b.rid and b.p = a.p + 1),
+singles as (
+  select rid, i, row_number() over (partition by x order by rid, p) nth from placed
+  where len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 50),
 gone as (
-  select rid, i1 i from runs where nth > 1 union select rid, i2 from runs where nth > 1),
+  select rid, i1 i from runs where nth > 1 union select rid, i2 from runs where nth > 1 union select rid, i from singles where nth > 1),
 kept as (
   select l.rid, string_agg(x, chr(10) order by l.i) t, count(*) n
   from lines l left join gone g on l.rid = g.rid and l.i = g.i where g.i is null group by l.rid),

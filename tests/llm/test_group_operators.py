@@ -102,7 +102,7 @@ def test_one_of_each_group(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
-def without_repeats(texts, least=2):
+def without_repeats(texts, least=2, words=50):
     seen, out = set(), []
     for t in texts:
         lines = (t or "").split("\n")
@@ -113,6 +113,12 @@ def without_repeats(texts, least=2):
             if run in seen:
                 gone.update(full[i : i + least])
             seen.add(run)
+        for k in full:
+            line = lines[k].strip(" \t\n\r\x0b\x0c")
+            if len(re.findall("[^\x20\x09-\x0D]+", line)) >= words:
+                if (line,) in seen:
+                    gone.add(k)
+                seen.add((line,))
         out.append((t if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone), sorted(gone)))
     return out
 
@@ -129,6 +135,14 @@ def test_line_dedup(spark, gram, window):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_single_long_lines(spark):
+    long, other = " ".join(f"w{k}" for k in range(50)), " ".join(f"w{k}" for k in range(49))
+    texts = [long, f"a\n {long}\nb", long, f"c\n{other}\nd", f"{other}\ne", f"{long} x", f"f\n{long}\n{long}", "\t" + "y " * 70 + "\ng\n" + "y " * 70]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = [(r.text, r.removed) for r in line_dedup.dedup(docs).orderBy("doc_id").collect()]
+    assert got == without_repeats(texts) and [r for _, r in got] == [[], [1], [0], [], [], [], [1, 2], [2]]
+
+
 def test_winnowing_keeps_the_rightmost_least(spark):
     from pyspark.sql import functions as F
 
