@@ -20,7 +20,7 @@ from flowtide.schemas import (
     TARGET_CLASS,
 )
 
-# A vocabulary becomes columns of the matrix, so its size is checked before it is read.
+# A vocabulary becomes columns of the dense matrix, so its size is bounded.
 MAX_VOCABULARY = 10_000
 
 
@@ -112,23 +112,26 @@ class Preprocessor:
     vocabularies: tuple[tuple[str, ...], ...]
 
     @staticmethod
-    def fit(train: DataFrame) -> Preprocessor:
-        """One pass for means and population deviations, one for the sorted vocabularies."""
+    def fit(train: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> Preprocessor:
+        """One pass for means and population deviations, one for the sorted vocabularies.
+
+        A column with more than ``max_vocabulary`` values is an error here; SparsePreprocessor takes any number.
+        """
         cleaned = clean_categoricals(train)
         stats = cleaned.agg(
             *[F.avg(c).alias(f"m_{c}") for c in NUMERIC],
             *[F.stddev_pop(c).alias(f"s_{c}") for c in NUMERIC],
-            *[F.approx_count_distinct(c).alias(f"v_{c}") for c in CATEGORICAL],
         ).first()
-        for c in CATEGORICAL:
-            if stats[f"v_{c}"] > MAX_VOCABULARY:
-                raise ValueError(f"column {c} has too many values to one-hot encode")
         values = (
             cleaned.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in CATEGORICAL])))
             .filter(F.col("v").isNotNull())
             .distinct()
+            .limit(len(CATEGORICAL) * (max_vocabulary + 1))  # reached only if a column has too many
             .collect()
         )
+        for c in CATEGORICAL:
+            if sum(r["c"] == c for r in values) > max_vocabulary:
+                raise ValueError(f"column {c} has too many values to one-hot encode")
         return Preprocessor(
             tuple(stats[f"m_{c}"] for c in NUMERIC),
             tuple(stats[f"s_{c}"] or 1.0 for c in NUMERIC),

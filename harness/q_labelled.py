@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowtide.functions.columns import round_even
 from flowtide.operators import cleaning as cl
 from flowtide.operators import profiling as pr
+from flowtide.operators.sparse import SparsePreprocessor
 from flowtide.schemas import CATEGORICAL, EXPECTED_FEATURES, NUMERIC
 from flowtide.session import shared_folder
 from flowtide.sources import tables
@@ -82,6 +83,25 @@ _VOCABULARY = {"proto": ["arp", "tcp", "udp"], "service": ["dns", "http", "none"
 _HOT = {f"{c}_{v}": (c, v) for c, vs in _VOCABULARY.items() for v in vs}
 
 
+_STATS = "st as (select " + ", ".join(
+    f"avg({c}) as m_{c}, case when stddev_pop({c}) = 0 then 1 else stddev_pop({c}) end as s_{c}" for c in NUMERIC) + " from lc where in_train)"
+_WORDS = "vw as (select c, v, " + f"{len(NUMERIC)} - 1 + row_number() over (order by p, v) as i from (" + " union ".join(
+    f"select {k} as p, '{c}' as c, {c} as v from lc where in_train" for k, c in enumerate(CATEGORICAL)) + "))"
+
+
+@query("matrix_cells", on_labelled(
+    f"""select id, i as "index", {rnd("v", 6)} as value from (
+  select id, unnest(range({len(NUMERIC)})) as i, unnest([{", ".join(f"(lc.{c} - m_{c}) / s_{c}" for c in NUMERIC)}]) as v from lc, st) where v <> 0
+union all """ + " union all ".join(f"select id, i, 1.0::double from lc join vw on vw.c = '{c}' and vw.v = lc.{c}" for c in CATEGORICAL),
+    (_STATS, _WORDS),
+))
+def _cells(spark, sf):
+    """Every cell of the matrix that is not zero."""
+    prep = SparsePreprocessor.fit(V.labelled_flows(spark, sf, "train"))
+    found = prep.cells(V.labelled_flows(spark, sf), ["id"])
+    return found.select("id", F.col("index").cast("long").alias("index"), round_even(F.col("value"), 6).alias("value"))
+
+
 @query("one_hot_ignore", on_labelled("select id, " + ", ".join(
     f"case when {c} = '{v}' then 1.0::double else 0.0::double end as {n}" for n, (c, v) in _HOT.items()) + " from lc"))
 def _one_hot(spark, sf):
