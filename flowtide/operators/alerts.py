@@ -14,10 +14,11 @@ from flowtide.schemas import (
     EVIDENCE,
     FLOW_FEATURES,
     FLOW_IDENTITY,
-    SEVERITIES,
     STATUSES,
 )
 
+PAGE_MOST = 500  # rows of a page of the alert list
+
 
 def threat_filter(scored: DataFrame, threshold: float = ANOMALY_THRESHOLD) -> DataFrame:
     return scored.filter(F.col("anomaly_prob") >= F.lit(threshold))
@@ -139,9 +140,9 @@ def list_alerts(
     offset: int = 0,
     newest: str = "timestamp",
 ) -> DataFrame:
-    """One page of alerts, newest first; ``limit`` None for all of them."""
-    if limit is not None and not 0 < limit or offset < 0:
-        raise ValueError("a page needs a positive limit and no negative offset")
+    """One page of alerts, newest first, of at most PAGE_MOST; ``limit`` None for all of them."""
+    if limit is not None and not 0 < limit <= PAGE_MOST or offset < 0:
+        raise ValueError(f"a page needs a limit from 1 to {PAGE_MOST} and no negative offset")
     if status is not None:
         alerts = alerts.filter(F.col("status") == status)
     if severity is not None:
@@ -214,10 +215,5 @@ def recent_alerts(alerts: DataFrame, n: int = 10, newest: str = "timestamp") ->
     )
 
 
-def check_enums(alerts: DataFrame) -> DataFrame:
-    """Rows whose status or severity is not an allowed value."""
-    return alerts.filter(~F.col("status").isin(STATUSES) | ~F.col("severity").isin(SEVERITIES))
-
-
 def event_time(us: Column) -> Column:
     return iso_utc(us)

@@ -68,19 +68,6 @@ def decode_telemetry(messages: DataFrame, schema: T.StructType = FLOW) -> DataFr
     return parsed.select(*[filled(f).alias(f.name) for f in schema.fields])
 
 
-def kafka_options(servers: str, topic: str, batch: int = 100, start: str = "latest") -> dict[str, str]:
-    """Reader options for a cluster whose Spark has the Kafka connector."""
-    return {
-        "kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": start,
-        "maxOffsetsPerTrigger": str(batch),
-    }
-
-
-def read_messages(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """Stream of (key, value) messages from a folder of JSON files."""
-    return spark.readStream.schema("key string, value string").option("maxFilesPerTrigger", max_files).json(path)
-
-
 def write_messages(messages: DataFrame, path: str) -> None:
     messages.write.mode("append").option("compression", "gzip").json(path)
 

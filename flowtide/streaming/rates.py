@@ -31,13 +31,6 @@ def rate_hits_stream(packets: DataFrame, hits: int, seconds: float, delay: str =
     return counts.filter(F.col("n") >= hits).withColumnRenamed("n", "hits")
 
 
-def windowed_rate_stream(
-    rows: DataFrame, keys: Sequence[str], seconds: int = 30, slide: int = 5, delay: str = "10 seconds"
-) -> DataFrame:
-    counts = windowed_counts(rows, keys, f"{seconds} seconds", f"{slide} seconds", delay)
-    return counts.select("window_us", *keys, (F.col("n") / F.lit(float(seconds))).alias("rate"))
-
-
 def alert_stream(flows: DataFrame, model: Ensemble, threshold: float = ANOMALY_THRESHOLD) -> DataFrame:
     """Scoring keeps no state, so the batch operator runs on the stream as it is."""
     return threat_alerts(flows, model, threshold)

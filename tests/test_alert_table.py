@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from flowtide.operators.alerts import alert_statistics, latest_versions
+from flowtide.operators.alerts import alert_statistics, latest_versions, list_alerts
 from flowtide.streaming.alert_table import AlertTable
 
 SCHEMA = "finding_id string, version long, status string, severity string"
@@ -70,3 +70,9 @@ def test_as_a_stream(spark, tmp_path):
     table.start(stream).awaitTermination()
     both = made(spark, 0, 30).union(made(spark, 1, 30)).where("finding_id is not null").fillna("New", ["status"])
     assert rows_of(table.current()) == rows_of(latest_versions(both)) and table.last_batch() == 1
+
+
+@pytest.mark.parametrize("limit", [0, -1, 501])
+def test_pages_have_a_bound(spark, limit):
+    with pytest.raises(ValueError):
+        list_alerts(made(spark, 1, 5), limit=limit)
