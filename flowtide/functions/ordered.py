@@ -17,6 +17,9 @@ from flowtide.session import materialise
 
 # Rows of one key that a single window task may sort.
 HOT_ROWS = 5_000_000
+# Pieces of fewer rows than this take longer to start than to sort, so a lower limit cuts no finer once there are MANY of them.
+PIECE_ROWS = 250_000
+MANY = 64
 PIECE = "_piece"
 SLOT = "_slot"
 
@@ -41,26 +44,39 @@ class Lane:
         return [F.col(n).desc() if self.descending else F.col(n).asc() for n in names]
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> dict[int, int]:
-    """Hash of each key that holds more than ``limit`` rows, with its row count.
+def _counted_hot(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """(_h, _n): hash of each key that holds more than ``limit`` rows, with its row count.
 
     An exact count with map-side combine; at most rows / limit keys come out of it. A hash collision
     only sends a small key along the careful route, which gives the same result.
     """
-    counts = df.groupBy(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    return {r.h: r.n for r in counts.where(F.col("n") > limit).collect()}
+    counts = df.groupBy(F.xxhash64(*keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > limit)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> dict[int, int]:
+    """Hash and row count of the keys that hold more than ``limit`` rows; for limits that few keys exceed."""
+    return {r._h: r._n for r in _counted_hot(df, keys, limit).collect()}
+
+
+def pieces_for(rows: int, limit: int) -> int:
+    """Pieces to cut so many rows into: half the limit each, but not ever more of them than are worth a task."""
+    return max(2, min(-(-2 * rows // max(limit, 1)), max(MANY, -(-2 * rows // PIECE_ROWS))))
 
 
 def split_hot(
     df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame | None, int]:
-    """(rows of ordinary keys, rows of hot keys or None, pieces to cut the hot rows into)."""
-    hot = hot_keys(df, keys, limit)
-    if not hot:
+    """(rows of ordinary keys, rows of hot keys or None, pieces to cut the hot rows into).
+
+    The hot keys are stored, so Spark knows their size when it joins them, and only their sum comes to the driver.
+    """
+    hot = materialise(_counted_hot(df, keys, limit), "hot-keys")
+    rows = hot.agg(F.sum("_n")).first()[0]
+    if rows is None:
         return df, None, 0
-    is_hot = F.xxhash64(*keys).isin(list(hot))
-    pieces = max(2, -(-2 * sum(hot.values()) // max(limit, 1)))
-    return df.filter(~is_hot), df.filter(is_hot), pieces
+    is_hot = F.xxhash64(*keys) == hot._h
+    return df.join(hot, is_hot, "left_anti"), df.join(hot, is_hot, "left_semi"), pieces_for(rows, limit)
 
 
 def cut(
@@ -113,17 +129,15 @@ def scan(
     last_of = {n: pick(e, F.when(e.isNotNull(), place)) for n, e in (dict(before) | dict(upto)).items()}
     sum_of = {n: F.sum(e) for n, e in total.items()}
     per_piece = df.groupBy(*lane.group).agg(*[a.alias(n) for n, a in (last_of | sum_of).items()])
-    # One row per (key, piece): at most the number of pieces plus the number of cut keys.
-    onward = (
-        Window.partitionBy(*lane.keys)
-        .orderBy(*lane.sorted_by([lane.piece]))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    # Of a key only the pieces after its first one take anything over, so there are fewer such rows than pieces.
+    in_order = Window.partitionBy(*lane.keys).orderBy(*lane.sorted_by([lane.piece]))
+    onward = in_order.rowsBetween(Window.unboundedPreceding, -1)
     carried = per_piece.select(
         *[F.col(g).alias(f"_in_{g}") for g in lane.group],
         *[F.last(n, ignorenulls=True).over(onward).alias(f"_c_{n}") for n in last_of],
         *[F.sum(n).over(onward).alias(f"_c_{n}") for n in sum_of],
-    )
+        F.row_number().over(in_order).alias("_nth"),
+    ).where("_nth > 1").drop("_nth")
     same = [F.col(g).eqNullSafe(F.col(f"_in_{g}")) for g in lane.group]
     joined = local.join(F.broadcast(carried), same, "left")
     merged = {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in last_of}

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowtide.functions.ordered import Lane, cut, hot_keys, number_rows, scan
+from flowtide.functions.ordered import MANY, Lane, cut, hot_keys, number_rows, pieces_for, scan, split_hot
 from flowtide.operators import packets as pk
 
 
@@ -83,3 +83,14 @@ def test_shared_folder_is_the_configured_one_or_local_only():
     assert shared_folder(local) == shared_folder(local)
     with pytest.raises(RuntimeError):
         shared_folder(session(spark_master="yarn"))
+
+
+def test_a_low_limit_cuts_large_tables_into_few_pieces(spark):
+    """Many hot keys: the pieces follow the rows, not the limit, and what goes from piece to piece stays small."""
+    df = spark.range(20_000).select("id", (F.col("id") % 500).alias("key"), (F.col("id") % 3).alias("v"))
+    usual, hot, pieces = split_hot(df.unionByName(spark.range(3).select("id", F.lit(None).cast("long").alias("key"), F.col("id").alias("v"))), ["key"], 10)
+    assert pieces == MANY and pieces_for(60_000_000, 10) == 480 and pieces_for(100, 10) == 20
+    assert usual.count() == 3 and hot.count() == 20_000
+    placed, lane = cut(hot, ["key"], ["id"], pieces)
+    got = scan(placed, lane, total={"t": F.lit(1)}, before={"b": F.col("v")})
+    assert got.where((F.col("t") - 1 != F.expr("id div 500")) | ~F.col("b").eqNullSafe(F.when(F.col("id") >= 500, (F.col("id") - 500) % 3))).count() == 0
