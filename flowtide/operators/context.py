@@ -10,6 +10,8 @@ from flowtide.schemas import HISTORY
 
 FLUSH_ORDER = ["close_us", "start_us", "flow_id", "flow_no"]
 BLOCK = 8_192
+# Blocks that one task sorts, on average.
+TASK_BLOCKS = 4
 
 # Count name -> columns that an earlier flow must share.
 CONTEXT_KEYS = {
@@ -40,6 +42,9 @@ def recent_counts(
     The sequence is cut into blocks of equal size, and each block also gets the last ``history`` rows
     of the one before. All counts then share one exchange on the block number, and a busy source is
     spread over blocks like every other. A block must not be shorter than the history.
+
+    The rows are sorted anew for every key list, and all these sorts count as one task's memory. So the rows are dealt to as many
+    tasks as their number asks for; by the size of the shuffled files, which compress well, Spark would join far more of them.
     """
     if block < history:
         raise ValueError(f"blocks of {block} rows can't hold a history of {history}")
@@ -55,7 +60,8 @@ def recent_counts(
         recent = Window.partitionBy("_block", *columns).orderBy("seq").rangeBetween(-history, -1)
         return F.count(F.lit(1)).over(recent) + 1
 
-    counted = placed.repartition("_block").withColumns({n: matches(c) for n, c in keys.items()})
+    tasks = max(1, -(-flows.count() // (TASK_BLOCKS * block)))
+    counted = placed.repartition(tasks, "_block").withColumns({n: matches(c) for n, c in keys.items()})
     return counted.filter("_own").drop("_p", "_block", "_own")
 
 

@@ -5,7 +5,7 @@ from flow_fold import fold
 from pyspark.sql import functions as F
 
 from flowtide.operators import flows
-from flowtide.operators.context import context_counts
+from flowtide.operators.context import context_counts, recent_counts
 from flowtide.plans.flow_records import flow_records
 from flowtide.schemas import FLOW_FEATURES, FLOW_IDENTITY, PACKET
 from harness import views as V
@@ -107,3 +107,11 @@ def test_flow_plan_has_two_exchanges_and_no_whole_table_window(spark, sf):
     plan = flows.flow_measures(V.packets(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
     assert "SinglePartition" not in plan
+
+
+def test_context_is_dealt_to_tasks_by_rows(spark):
+    """Files of a shuffle compress well: by their size all these rows would be sorted in one task or a few."""
+    rows = spark.range(40_000).select(F.col("id").alias("seq"), (F.col("id") % 3).alias("k"))
+    counted = recent_counts(rows, {"n": ["k"]}, history=30, block=100)
+    assert counted.rdd.getNumPartitions() == 100
+    assert counted.where((F.col("n") != 11) & (F.col("seq") >= 30)).count() == 0
