@@ -7,7 +7,7 @@ carries the running value from each piece to the next. Keys of ordinary size tak
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,6 +101,19 @@ def cut(
     )
 
 
+def in_lanes(placed: DataFrame, lane: Lane, work: Callable[[DataFrame, Lane], DataFrame], name: str) -> DataFrame:
+    """``work`` over rows as ``cut`` gives them: once for the keys that lie within one piece, once for the others.
+
+    Rows are ordered by key, so a key that goes on in the next piece is the greatest of its own piece, and there are no more of them than
+    pieces. Only they have a value to carry from piece to piece; windows of the rest share one exchange and one sort, whatever ``work`` scans.
+    """
+    last = placed.groupBy(PIECE).agg(F.max(F.struct(*lane.keys)).alias("_k"))
+    last = materialise(last.select(*[F.col(f"_k.{k}").alias(f"_last_{k}") for k in lane.keys]).distinct(), f"{name}-across")
+    same = [F.col(k).eqNullSafe(F.col(f"_last_{k}")) for k in lane.keys]
+    within = work(placed.join(F.broadcast(last), same, "left_anti"), replace(lane, piece=None))
+    return within.unionByName(work(placed.join(F.broadcast(last), same, "left_semi"), lane))
+
+
 def scan(
     df: DataFrame,
     lane: Lane,

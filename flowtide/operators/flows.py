@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtide.functions.columns import count_when, iso_utc, lookup, ratio, round_even
-from flowtide.functions.ordered import HOT_ROWS, PIECE, SLOT, Lane, cut, scan, split_hot
+from flowtide.functions.ordered import HOT_ROWS, PIECE, SLOT, Lane, cut, in_lanes, scan, split_hot
 from flowtide.schemas import (
     ACTIVE_TIMEOUT_S,
     FLAGS,
@@ -135,7 +135,8 @@ def _active_starts_hot(
     doubles in each round, and all joins are on the packet id, so no key gathers in one place.
     """
     placed, lane = cut(thin, KEY, ORDER, pieces, "hot-thin")
-    runs = materialise(_islands(placed, lane, gap_us).drop(PIECE, SLOT, "_prev_ts"), "hot-runs")
+    islands = in_lanes(placed, lane, lambda rows, part: _islands(rows, part, gap_us), "hot-thin")
+    runs = materialise(islands.drop(PIECE, SLOT, "_prev_ts"), "hot-runs")
 
     spot = ["at_us", "is_packet", "pkt_id"]
     packets = runs.select(*KEY, "island", F.col("ts_us").alias("at_us"), F.lit(1).alias("is_packet"), "pkt_id")
@@ -143,10 +144,13 @@ def _active_starts_hot(
         *KEY, "island", (F.col("ts_us") + active_us).alias("at_us"), F.lit(0).alias("is_packet"), "pkt_id"
     )
     events, forward = cut(packets.union(deadlines), [*KEY, "island"], spot, 2 * pieces, "hot-deadlines")
-    backward = forward.reversed()
     is_packet = F.col("is_packet") == 1
-    after = scan(events, backward, before={"_next": F.when(is_packet, F.struct("pkt_id"))})
-    crossing = scan(after, backward, before={"_cross": F.when(is_packet, F.struct("_next"))})
+
+    def seen_ahead(rows: DataFrame, part: Lane) -> DataFrame:
+        after = scan(rows, part, before={"_next": F.when(is_packet, F.struct("pkt_id"))})
+        return scan(after, part, before={"_cross": F.when(is_packet, F.struct("_next"))})
+
+    crossing = in_lanes(events, forward.reversed(), seen_ahead, "hot-deadlines")
     jumps = materialise(
         crossing.filter(~is_packet & F.col("_cross._next").isNotNull()).select(
             F.col("pkt_id").alias("node"), F.col("_cross._next.pkt_id").alias("to")
@@ -172,6 +176,11 @@ def _active_starts_hot(
 def _in_flows(rows: DataFrame, lane: Lane, gap_us: int) -> DataFrame:
     """Packets and start marks of the lane to packets with flow number and order-dependent columns."""
     here = F.col("is_packet")
+
+    def kept(scanned: DataFrame) -> DataFrame:
+        # A scan over pieces reads its rows twice; without this, four scans would run the first one eight times.
+        return materialise(scanned, "hot-scanned") if lane.piece else scanned
+
     lagged = scan(
         rows,
         lane,
@@ -181,7 +190,7 @@ def _in_flows(rows: DataFrame, lane: Lane, gap_us: int) -> DataFrame:
             "_mark": F.when(~here, F.col("pkt_id")),
         },
     ).filter(here)
-    opened = lagged.withColumn("opens", _opens(gap_us, F.col("_mark") == F.col("pkt_id")))
+    opened = kept(lagged).withColumn("opens", _opens(gap_us, F.col("_mark") == F.col("pkt_id")))
     numbered = scan(
         opened,
         lane,
@@ -201,7 +210,7 @@ def _in_flows(rows: DataFrame, lane: Lane, gap_us: int) -> DataFrame:
 
     always = F.lit(True)
     first = scan(
-        numbered,
+        kept(numbered),
         lane,
         before={
             "_sa": F.when(~fwd & F.col("syn") & F.col("ack"), flow),
@@ -209,7 +218,7 @@ def _in_flows(rows: DataFrame, lane: Lane, gap_us: int) -> DataFrame:
             **by_side("_pn", flow, always),
         },
     )
-    gaps = first.withColumns(
+    gaps = kept(first).withColumns(
         {
             "synack_before": F.coalesce(F.col("_sa") == flow, F.lit(False)),
             "gap_us": F.when(same_side("_pn") == flow, ts - same_side("_pt")),
@@ -292,7 +301,7 @@ def flow_packets(
         return result
     marks = _active_starts_hot(hot.select(*thin), pieces, gap_us, active_us)
     rows, hot_lane = cut(with_marks(hot, marks), KEY, lane.order, pieces, "hot-packets")
-    in_flows = _in_flows(rows, hot_lane, gap_us).drop(PIECE, SLOT)
+    in_flows = in_lanes(rows, hot_lane, lambda some, part: _in_flows(some, part, gap_us), "hot-packets").drop(PIECE, SLOT)
     return result.unionByName(_repeats(materialise(in_flows, "hot-flows"), hot=True))
 
 

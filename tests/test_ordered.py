@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowtide.functions.ordered import MANY, Lane, cut, hot_keys, number_rows, pieces_for, scan, split_hot
+from flowtide.functions.ordered import MANY, PIECE, Lane, cut, hot_keys, in_lanes, number_rows, pieces_for, scan, split_hot
 from flowtide.operators import packets as pk
 
 
@@ -94,3 +94,25 @@ def test_a_low_limit_cuts_large_tables_into_few_pieces(spark):
     placed, lane = cut(hot, ["key"], ["id"], pieces)
     got = scan(placed, lane, total={"t": F.lit(1)}, before={"b": F.col("v")})
     assert got.where((F.col("t") - 1 != F.expr("id div 500")) | ~F.col("b").eqNullSafe(F.when(F.col("id") >= 500, (F.col("id") - 500) % 3))).count() == 0
+
+
+def test_only_keys_of_several_pieces_are_carried(spark):
+    """Null and small keys lie within one piece and take the plain scan; both ways together give the plain running sum."""
+    rows = [(k, i, 1 + i % 3) for k, n in ((None, 7), (1, 40), (2, 3), (3, 2)) for i in range(n)]
+    df = spark.createDataFrame([(k, n, v) for n, (k, _, v) in enumerate(rows)], "k int, n int, v int")
+    placed, lane = cut(df, ["k"], ["n"], pieces=4)
+    seen = []
+
+    def work(some, part):
+        seen.append((part.piece, {r.k for r in some.select("k").distinct().collect()}))
+        return scan(some, part, total={"s": F.col("v")}).select("k", "n", "s")
+
+    got = {r.n: r.s for r in in_lanes(placed, lane, work, "rows").collect()}
+    want, sums = {}, {}
+    for n, (k, _, v) in enumerate(rows):
+        sums[k] = want[n] = sums.get(k, 0) + v
+    assert got == want
+    (plain, within), (pieced, across) = seen
+    spanning = {r.k for r in placed.groupBy("k").agg(F.count_distinct(PIECE).alias("p")).where("p > 1").collect()}
+    assert (plain, pieced) == (None, PIECE)
+    assert 1 in spanning <= across and not within & across and within | across == {None, 1, 2, 3} and within
