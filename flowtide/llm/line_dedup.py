@@ -20,6 +20,8 @@ from flowtide.llm.common import spare, stored
 
 GRAM, WINDOW = 1, 2
 LONG = 50
+# White space that doesn't count at both ends of a line.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def _digest(lines: Column) -> Column:
@@ -100,7 +102,7 @@ def dedup(
     n = spare(docs, "_n")
     rows = stored(docs.select(*carried).withColumn(n, F.monotonically_increasing_id()), "rows")
     lines = F.split(F.col(text), "\n", -1)
-    full = F.filter(F.transform(lines, lambda x, i: F.named_struct(F.lit("i"), i, F.lit("x"), F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda p: p["x"] != "")
+    full = F.filter(F.transform(lines, lambda x, i: F.named_struct(F.lit("i"), i, F.lit("x"), F.btrim(x, F.lit(BLANKS)))), lambda p: p["x"] != "")
     parts = rows.select(F.struct(F.col(key).alias("a"), F.col(n).alias("b")).alias("k"), F.col(n).alias("_n"), full.alias("f"))
     parts = parts.select("k", "_n", F.transform("f", lambda p: p["x"]).alias("l"), F.transform("f", lambda p: p["i"]).alias("i"))
     gone = repeats(parts, "k", "l", gram, window, words).select(F.col("k.b").alias("_n"), "gone")
