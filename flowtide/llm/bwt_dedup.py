@@ -32,6 +32,7 @@ GRAM = 20
 HOT = 10_000
 BLOCK = 1 << 16  # starts looked at together: what the caches hold
 SHARD_BYTES = 1 << 18  # text of a transform, up to the end of its last gram
+MANY = 6  # intervals that hold more than this part of all places are followed place by place, others by themselves
 
 _PLACES = 24  # bits of a place in a block
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -177,14 +178,21 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(width):
         key = (key << 9) | around[k : k + n]
-    while True:
-        order = np.argsort(key)
-        if width >= depth:
-            return order
+    bits = n.bit_length()
+    order = np.argsort(key)
+    key = key[order]
+    while width < depth:
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, np.diff(key[order]) != 0])
-        key = rank * n + np.roll(rank, -width)
+        rank[order] = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+        key = (rank << bits) | np.roll(rank, -width)
+        if 3 * bits < 64:  # room for the place beside the key: plain sorts are several times faster than those of places
+            key = np.sort((key << bits) | np.arange(n))
+            order, key = key & ((1 << bits) - 1), key >> bits
+        else:
+            order = np.argsort(key)
+            key = key[order]
         width *= 2
+    return order
 
 
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -198,19 +206,32 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.nd
     to_first = np.empty(n, np.int64)
     to_first[by_symbol] = np.arange(n)
     first = transform[by_symbol]
+    borders = np.flatnonzero(first[1:] != first[:-1]) + 1
     known = np.full(n + 1, -1, np.int16)
     known[0] = known[n] = 0
+    owner, fresh = np.ones(n, np.int32), np.ones(n, bool)
     low, high = np.array([0]), np.array([n])
     for level in range(1, least + 1):
-        size = high - low
-        owner = np.repeat(np.arange(len(low)), size)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + low[owner]
-        # One symbol of an interval goes to neighbouring places of the first column.
-        moved = np.sort((to_first[inside] << 31) | owner)
-        place, owner = moved >> 31, moved & ((1 << 31) - 1)
-        new = np.flatnonzero(np.r_[True, (np.diff(place) != 1) | (np.diff(owner) != 0) | (np.diff(first[place]) != 0)])
-        low, high = place[new], place[np.r_[new[1:], len(place)] - 1] + 1
-        unset = known[high] < 0
+        if MANY * (high - low).sum() > n:
+            # Most places are in intervals: all take the owner (0: none) of their place in the transform, in order as they are.
+            owner = owner.take(by_symbol)
+            np.not_equal(owner[1:], owner[:-1], out=fresh[1:])
+            fresh[borders] = True
+            low = np.flatnonzero(fresh)
+            high = np.append(low[1:], n)
+            unset = (owner.take(low) > 0) & (known.take(high) < 0)
+            owner = np.repeat(np.cumsum(unset, dtype=np.int32) * unset, high - low)
+        else:
+            size = high - low
+            whose = np.repeat(np.arange(len(low)), size)
+            inside = np.arange(len(whose)) + np.repeat(low - (np.cumsum(size) - size), size)
+            # One symbol of an interval goes to neighbouring places of the first column.
+            moved = np.sort((to_first[inside] << 31) | whose)
+            place, whose = moved >> 31, moved & ((1 << 31) - 1)
+            symbol = first[place]
+            new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (whose[1:] != whose[:-1]) | (symbol[1:] != symbol[:-1])])
+            low, high = place[new], place[np.r_[new[1:], len(place)] - 1] + 1
+            unset = known[high] < 0
         low, high = low[unset], high[unset]
         known[high] = level - 1
         if not len(low):
@@ -220,6 +241,12 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.nd
 
 def least_of_strings(pieces: Sequence[bytes], docs: Sequence[int]) -> list[np.ndarray]:
     """For each piece and each start of LENGTH bytes in it, the least document of all pieces that hold that string."""
+    least, _, starts = _least_of_starts(pieces, docs)
+    return np.split(least, np.cumsum(starts)[:-1])
+
+
+def _least_of_starts(pieces: Sequence[bytes], docs: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the starts of all pieces, one piece behind the other: least document, own document; and the starts of each piece."""
     raw = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
     size = np.array([len(p) for p in pieces])
     begin = np.cumsum(size + 1) - size - 1
@@ -234,12 +261,23 @@ def least_of_strings(pieces: Sequence[bytes], docs: Sequence[int]) -> list[np.nd
     group, doc = group_at[place], np.asarray(docs, np.int64)[which]
     least = np.full(int(group_at.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, doc)
-    return np.split(least[group], np.cumsum(starts)[:-1])
+    return least[group], doc, starts
 
 
-def _runs(flags: np.ndarray) -> list[dict]:
-    edges = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
-    return [{"a": int(a), "b": int(b)} for a, b in edges.reshape(-1, 2)]
+def runs_of_pieces(pieces: Sequence[bytes], docs: Sequence[int]) -> Iterator[tuple[int, list[dict]]]:
+    """(piece, runs) for pieces with starts whose string has a smaller document in another piece: where they begin and end."""
+    least, doc, starts = _least_of_starts(pieces, docs)
+    begin = np.cumsum(starts) - starts
+    flags = np.zeros(len(least) + len(starts) + 1, np.int8)  # a place without a flag before each piece, so that runs end with it
+    which = np.repeat(np.arange(len(starts)), starts)
+    flags[np.arange(len(least)) + which + 1] = least < doc
+    a, b = (np.flatnonzero(np.diff(flags)) + 1).reshape(-1, 2).T
+    piece = np.searchsorted(begin + np.arange(len(starts)), a, side="right") - 1
+    shift = begin[piece] + piece + 1
+    runs: dict[int, list[dict]] = {}
+    for p, x, y in zip(piece.tolist(), (a - shift).tolist(), (b - shift).tolist()):
+        runs.setdefault(p, []).append({"a": x, "b": y})
+    return iter(runs.items())
 
 
 def _shard():
@@ -249,10 +287,7 @@ def _shard():
 
     def flush() -> Iterator[dict]:
         if held:
-            out = []
-            for row, least in zip(held, least_of_strings([r[4] for r in held], [r[3] for r in held])):
-                if (least < row[3]).any():
-                    out.append((*row[:3], _runs(least < row[3])))
+            out = [(*held[k][:3], runs) for k, runs in runs_of_pieces([r[4] for r in held], [r[3] for r in held])]
             held.clear()
             size[0] = 0
             if out:
