@@ -14,10 +14,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from functools import cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +58,10 @@ class ByteBPE:
         self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
         self.chunks: dict[str, tuple[str, tuple[int, ...]]] = {}
 
+    def form(self, ids: tuple[int, ...]):
+        """What is remembered of a chunk: its ids joined by blanks, and the ids."""
+        return " ".join(map(str, ids)), ids
+
     def merges(self, data: bytes, until: int = 1) -> list[int]:
         """The definition: merge the neighbours of lowest rank, leftmost first, until none can be merged."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -144,8 +151,8 @@ class ByteBPE:
                 self.pieces[text] = known
         return known
 
-    def chunk(self, text: str) -> tuple[str, tuple[int, ...]]:
-        """(ids joined by blanks, ids) of one chunk that the younger half of the memory doesn't hold."""
+    def chunk(self, text: str):
+        """The form of one chunk that the younger half of the memory doesn't hold."""
         known = self.older.get(text)
         if known is None:
             last = len(text) - 1
@@ -155,7 +162,7 @@ class ByteBPE:
                 ids = self.piece(text[:last]) + self.piece(text[last])
             else:
                 ids = tuple(chain.from_iterable(map(self.piece, self.pattern.findall(text))))
-            known = " ".join(map(str, ids)), ids
+            known = self.form(ids)
         if len(text) <= LONGEST_KEPT:
             if len(self.chunks) >= KEPT_CHUNKS:
                 self.chunks, self.older = {}, self.chunks
@@ -172,16 +179,36 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class PackedBPE(ByteBPE):
+    """An encoder to ids only. It remembers them as packed numbers of four bytes, which take a third of the memory of ``ByteBPE``'s form."""
+
+    def form(self, ids: tuple[int, ...]) -> bytes:
+        return array("i", ids).tobytes()
+
+    def packed(self, text: str) -> bytes:
+        return b"".join(self.encode_parts(text))
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
+
+
 def read_ranks(lines) -> dict[bytes, int]:
     """The ranks of a vocabulary file: one base64 token and its id a line."""
     return {base64.b64decode(t): int(i) for t, i in (line.split() for line in lines if line.strip())}
 
 
 @cache
-def load(path: str, pattern: str) -> ByteBPE:
+def load(path: str, pattern: str, kind: type[ByteBPE] = ByteBPE) -> ByteBPE:
     """One encoder per worker process; the vocabulary is installed with the tokenizer package on every machine."""
     with open(path, "rb") as lines:
-        return ByteBPE(read_ranks(lines), pattern)
+        return kind(read_ranks(lines), pattern)
+
+
+@cache
+def load_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each id, all that decoding needs: its workers hold no automaton and no memories of an encoder."""
+    with open(path, "rb") as lines:
+        return {i: token for token, i in read_ranks(lines).items()}
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -194,10 +221,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), f"`{ids}` array<int>"])
 
     def build():
-        bpe = load(path, pattern)
+        bpe = load(path, pattern, PackedBPE)
 
         def step(batch):
-            coded = [bpe.encode(t) for t in texts(batch, text)]
+            packs = [bpe.packed(t) for t in texts(batch, text)]
+            ends = np.cumsum([0, *map(len, packs)]) // 4
+            coded = pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(b"".join(packs), np.int32))
             yield {c: batch.column(c) for c in kept} | {ids: coded}
 
         return step
@@ -212,10 +241,11 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", data: str =
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), f"`{data}` binary"])
 
     def build():
-        bpe = load(path, pattern)
+        bytes_of = load_bytes(path)
 
         def step(batch):
-            yield {c: batch.column(c) for c in kept} | {data: [bpe.decode(v.as_py() or ()) for v in batch.column(ids)]}
+            decoded = [b"".join(map(bytes_of.__getitem__, v.as_py() or ())) for v in batch.column(ids)]
+            yield {c: batch.column(c) for c in kept} | {data: decoded}
 
         return step
 
