@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -25,9 +26,27 @@ def round_even(col: Column, digits: int) -> Column:
     return F.when(tie & (error != 0), F.when(error > 0, below + 1).otherwise(below)).otherwise(F.rint(product)) / scale
 
 
+# White space, and the line ends before which an end of text is matched too.
+_EDGES = " \t\n\x0b\f\r\x85\u2028\u2029"
+
+
 def strip(col: Column) -> Column:
-    """Remove leading and trailing white space of every kind (``trim`` knows only blanks)."""
-    return F.regexp_replace(col.cast("string"), r"^\s+|\s+$", "")
+    """Remove leading and trailing white space of every kind (``trim`` knows only blanks).
+
+    The expression, which costs much more than a comparison, is left to values with such characters at an end.
+    """
+    text = col.cast("string")
+    return F.when(F.btrim(text, F.lit(_EDGES)) == text, text).otherwise(F.regexp_replace(text, r"^\s+|\s+$", ""))
+
+
+# Aggregates computed together: the code of many more is too long to be compiled, and then each row costs several times as much.
+TOGETHER = 40
+
+
+def one_row(rows: DataFrame, aggregates: Sequence[Column]) -> Row:
+    """Named aggregates of the whole table, TOGETHER at a time in one job. Those of one column should be neighbours."""
+    parts = [rows.agg(*aggregates[k : k + TOGETHER]) for k in range(0, len(aggregates), TOGETHER)]
+    return reduce(DataFrame.crossJoin, parts).first()  # one row each
 
 
 def lookup(col: Column, table: Mapping, default: str) -> Column:

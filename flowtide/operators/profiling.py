@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowtide.functions.columns import count_when, strip
+from flowtide.functions.columns import count_when, one_row, strip
 from flowtide.schemas import CATEGORICAL, DYNAMIC_RANGE, QUASI_CONSTANT, ROW_ID, TARGET, TARGET_CLASS
 
 # Values of a column that are ranked at last, after passes that narrow the range around its median; and the passes' accuracy.
@@ -184,8 +184,8 @@ _MOMENTS = {"mean": F.avg, "std": F.stddev_samp}
 
 
 def _one_row(rows: DataFrame, columns: Sequence[str], stats: dict) -> Row:
-    """Plain statistics of all columns in one pass: one row, read to the driver."""
-    return rows.agg(*[f(F.col(c).cast("double")).alias(f"{s}__{c}") for s, f in stats.items() for c in columns]).first()
+    """Plain statistics of all columns in one job: one row, read to the driver."""
+    return one_row(rows, [f(F.col(c).cast("double")).alias(f"{s}__{c}") for c in columns for s, f in stats.items()])
 
 
 def _brackets(rows: DataFrame, columns: Sequence[str], limit: int, ends: Row) -> dict[str, _Bracket]:
@@ -233,6 +233,10 @@ def exact_medians(
 ) -> DataFrame:
     """Median of each column as (column, median), the mean of the two middle values if they differ."""
     state = _brackets(rows, columns, limit, ends or _one_row(rows, columns, _PLAIN))
+    # A bracket of one value is the median: its rows, which may be most of the table, need not be looked at.
+    known = [(c, (b.low + b.high) / 2.0 + 0.0) for c, b in state.items() if b.low == b.high]
+    settled = rows.sparkSession.createDataFrame(known, "column string, median double")
+    state = {c: b for c, b in state.items() if b.low != b.high}
     cells = [
         F.struct(
             F.lit(c).alias("column"),
@@ -242,7 +246,7 @@ def exact_medians(
         for c, b in state.items()
     ]
     if not cells:
-        return rows.sparkSession.createDataFrame([], "column string, median double")
+        return settled
     kept = rows.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
     counts = kept.groupBy("column", "value", "below", "r1", "r2").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
@@ -252,7 +256,7 @@ def exact_medians(
         hit = (F.col(rank) < F.col("upto")) & (F.col(rank) >= F.col("upto") - F.col("n"))
         return F.max(F.when(hit, F.col("value")))
 
-    return placed.groupBy("column").agg(((at("r1") + at("r2")) / 2.0).alias("median"))
+    return settled.unionByName(placed.groupBy("column").agg(((at("r1") + at("r2")) / 2.0).alias("median")))
 
 
 def numeric_summary(rows: DataFrame, columns: Sequence[str] | None = None, limit: int = MEDIAN_VALUES) -> DataFrame:
