@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowtide.functions.columns import strip
+from flowtide.functions.columns import one_row, strip
 from flowtide.schemas import (
     CATEGORICAL,
     EXPECTED_FEATURES,
@@ -113,15 +113,12 @@ class Preprocessor:
 
     @staticmethod
     def fit(train: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> Preprocessor:
-        """One pass for means and population deviations, one for the sorted vocabularies.
+        """One job for means and population deviations, one for the sorted vocabularies.
 
         A column with more than ``max_vocabulary`` values is an error here; SparsePreprocessor takes any number.
         """
         cleaned = clean_categoricals(train)
-        stats = cleaned.agg(
-            *[F.avg(c).alias(f"m_{c}") for c in NUMERIC],
-            *[F.stddev_pop(c).alias(f"s_{c}") for c in NUMERIC],
-        ).first()
+        stats = one_row(cleaned, [a for c in NUMERIC for a in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
         values = (
             cleaned.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in CATEGORICAL])))
             .filter(F.col("v").isNotNull())
