@@ -148,11 +148,11 @@ def _sample(spark, sf):
 
 
 def matrices(spark, sf):
-    """(prepared training rows, prepared test rows, preprocessor)."""
+    """(prepared training rows, prepared test rows, preprocessor). The rows are stored: fits and figures read them many times."""
     train, test = (V.labelled_flows(spark, sf, s) for s in ("train", "test"))
     prep = Preprocessor.fit(train)
     keep = ["id", "label", "attack_cat"]
-    return prep.vectors(train, keep), prep.vectors(test, keep), prep
+    return *(materialise(prep.vectors(rows, keep), "matrix") for rows in (train, test)), prep
 
 
 def evaluated(model, test):
@@ -196,7 +196,6 @@ select {_SIZES}, true as probabilities, true as beats_majority, true as stationa
 def _logreg(spark, sf):
     """Both fits, plain and with class weights, are where their gradients vanish; the plain one is tested."""
     train, test, _ = matrices(spark, sf)
-    train = materialise(train, "matrix")  # read by every step of the fits
     plain, weighted = training.train_logistic(train), training.train_logistic(train, balanced=True)
     parts = [
         tested(plain, test), stationary(plain, train),
@@ -231,7 +230,6 @@ select {_SIZES}, true as probabilities, true as beats_majority, 1 as trees, true
 def _tree(spark, sf):
     """The tree keeps to its depth and leaf size, and its exported nodes score like the fitted model."""
     train, test, prep = matrices(spark, sf)
-    train = materialise(train, "matrix")
     model = training.train_tree(train)
     names = [f"f{i}" for i in range(len(prep.names))]
     nodes = materialise(training.export_ensemble(spark, model, names), "nodes")
@@ -246,7 +244,7 @@ select count(*) filter (not in_train) as n_test, 15 as trees, true as whole, 0 a
 def _ensemble(spark, sf):
     """Fit, export to node rows, and score the test rows with the compiled expressions: as the fitted model does."""
     train, test, prep = matrices(spark, sf)
-    indexed = materialise(train.withColumn("class_index", training.class_index("attack_cat")), "matrix")
+    indexed = train.withColumn("class_index", training.class_index("attack_cat"))
     forest = training.train_ensemble(indexed)
     names = [f"f{i}" for i in range(len(prep.names))]
     nodes = materialise(training.export_ensemble(spark, forest, names), "nodes")
