@@ -5,8 +5,8 @@ piece a sequence of tokens is the result of the merges exactly if every two neig
 when their joined bytes are merged. So the encoder walks from left to right, takes the longest token
 that starts here, and goes back to a shorter one where neighbours are not compatible. Of each prefix
 there is at most one such sequence; a place that could not be continued once is dead for good, which
-makes the walk linear. Tokens come from one Aho-Corasick pass over the bytes, read as Latin-1;
-compatibility of token pairs is memoised.
+makes the walk linear. Longest matches come from an Aho-Corasick automaton over the bytes, read as
+Latin-1; the longest token that fits a left neighbour is memoised.
 """
 
 from __future__ import annotations
@@ -48,11 +48,14 @@ class ByteBPE:
             r"\s+(?!\S)", rf"[{SPACE}]+(?![^{SPACE}])").replace(r"\s+", rf"[{SPACE}]+"))
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token) - 1))
+            self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.longest = max(map(len, ranks))
+        self.window = 2 * self.longest + 64
         self.size_of = {i: len(token) for token, i in ranks.items()}
         self.shorter = {i: self._prefix(token) for token, i in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.width = max(ranks.values()) + 1
+        self.fits: dict[int, int | None] = {}
         self.spines: dict[tuple[int, bool], list[int]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
@@ -85,11 +88,18 @@ class ByteBPE:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart: no merge over their border comes before those on either side of it."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._apart(self.spine(left, True), self.spine(right, False))
+        return self.fit(left, right) == right
+
+    def fit(self, left: int, token: int) -> int | None:
+        """The longest token that can follow ``left``: ``token`` or one that it begins with."""
+        known = self.fits.get(left * self.width + token, -1)
+        if known == -1:
+            apart = self._apart(self.spine(left, True), self.spine(token, False))
+            shorter = self.shorter[token]
+            known = token if apart else None if shorter is None else self.fit(left, shorter)
+            if len(self.fits) >= KEPT_PAIRS:
+                self.fits.clear()
+            self.fits[left * self.width + token] = known
         return known
 
     def _apart(self, left: list[int], right: list[int]) -> bool:
@@ -113,34 +123,49 @@ class ByteBPE:
 
     def encode_piece(self, data: bytes) -> list[int]:
         size, line = len(data), data.decode("latin-1")
-        known, size_of, shorter = self.pairs.get, self.size_of, self.shorter
-        # Most often the longest matches, one after the other, are compatible, and then nothing else is.
-        taken = [token for _, (token, _) in self.automaton.iter_long(line)]
-        if sum(map(size_of.__getitem__, taken)) == size and all(map(self.compatible, taken, taken[1:])):
-            return taken
-        longest: list[int | None] = [None] * (size + 1)
-        for end, (token, back) in self.automaton.iter(line):
-            longest[end - back] = token  # matches come by their end, so the last one is the longest
-        dead = set()
-        taken = []
-        at, token = 0, longest[0]
+        fits, size_of, shorter, width = self.fits.get, self.size_of, self.shorter, self.width
+        dead: set[int] = set()
+        taken: list[int] = []
+        at, left = 0, None
         while at < size:
-            while token is not None:
-                end = at + size_of[token]
-                if end not in dead:
-                    fits = not taken or known((taken[-1], token))
-                    if fits or fits is None and self.compatible(taken[-1], token):
-                        taken.append(token)
-                        at, token = end, longest[end]
-                        break
-                token = shorter[token]
-            else:
-                dead.add(at)
-                token = taken.pop()
-                at -= size_of[token]
-                token = shorter[token]
+            # The longest matches, one after the other, as long as each fits its left neighbour; no further than the window shows them whole.
+            window = line[at : at + self.window]
+            sure = size if at + len(window) == size else at + len(window) - self.longest
+            for _, token in self.automaton.iter_long(window):
+                if at > sure:
+                    break
+                best = token
+                if left is not None:
+                    best = fits(left * width + token, -1)
+                    if best == -1:
+                        best = self.fit(left, token)
+                if best is None or dead and at + size_of[best] in dead:
+                    best = self._alive(left, best, at, dead)
+                    while best is None:  # nothing fits here: go back to a shorter token
+                        dead.add(at)
+                        last = taken.pop()
+                        at -= size_of[last]
+                        left = taken[-1] if taken else None
+                        best = shorter[last]
+                        if best is not None and left is not None:
+                            best = self.fit(left, best)
+                        best = self._alive(left, best, at, dead)
+                    token = None
+                taken.append(best)
+                left = best
+                at += size_of[best]
+                if best != token:
+                    break
         return taken
 
+    def _alive(self, left: int | None, token: int | None, at: int, dead: set[int]) -> int | None:
+        """The first of ``token`` and the shorter ones that fit ``left`` which does not end at a dead place."""
+        while token is not None and at + self.size_of[token] in dead:
+            token = self.shorter[token]
+            if token is not None and left is not None:
+                token = self.fit(left, token)
+        return token
+
     def piece(self, text: str) -> tuple[int, ...]:
         known = self.pieces.get(text)
         if known is None:

@@ -1,10 +1,12 @@
-"""What the workers of the pipeline's last stage hold in memory."""
+"""What the workers of the pipeline's last stage hold in memory, and what an encoder does for a piece."""
 
 from __future__ import annotations
 
+import random
 import tracemalloc
 
 import public_tokenizers
+import tiktoken
 from pyspark.sql import functions as F
 
 from flowtide.llm import bpe
@@ -39,3 +41,20 @@ def test_decoding_needs_the_bytes_only(spark):
     back = bpe.decode(bpe.encode(rows, PATH, PATTERN), PATH, PATTERN)
     assert back.where(F.col("decoded") != F.coalesce("text", F.lit("")).cast("binary")).count() == 0
     assert [len(r.ids) > 0 for r in back.orderBy("doc_id").collect()] == [True, False, False]
+
+
+class LongestOnly:
+    """An automaton that does not list all matches."""
+
+    def __init__(self, automaton):
+        self.iter_long = automaton.iter_long
+
+
+def test_pieces_need_the_longest_matches_only():
+    coder = bpe.ByteBPE(bpe.load(PATH, PATTERN).ranks, PATTERN)
+    coder.automaton = LongestOnly(coder.automaton)
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    rnd = random.Random(4)
+    for size in [*range(1, 12)] * 200 + [100, 2_000]:  # words of syllables; the longest go beyond what is looked at together
+        word = "".join(rnd.choice(("er", "in", "tion", "ö", "the", "and", "a", "th", "ing", "schl", "\u00e9", "-", "=" * 40)) for _ in range(size))
+        assert coder.encode(word) == library.encode_ordinary(word)
