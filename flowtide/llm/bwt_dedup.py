@@ -371,20 +371,26 @@ def dedup(docs: DataFrame) -> DataFrame:
     seen = stored(seen.select("gram"), "grams")
     release(spark)
     found = scan(thin, _all_spots, "doc_id long, mark long, start long, n int, gram long, piece long")
+    ids = ["doc_id"] if unique else ["doc_id", "mark"]  # the columns that tell a row
+    found = found.select(*ids, "start", "n", "gram", "piece")
     found = stored(found.join(seen.hint("shuffle_hash"), "gram", "left_semi"), "spots")
     discard(seen)
 
-    lead = F.min(F.struct("doc_id", "mark", "start")).alias("lead")
-    different = found.groupBy("gram", "piece", "n").agg(lead)
-    different = stored(different.select("gram", "piece", "n", F.col("lead.doc_id").alias("least"), "lead.mark", "lead.start"), "pieces")
+    different = found.groupBy("gram", "piece", "n")
+    if unique:  # wherever the least document holds a piece; least values of plain columns need no sort
+        different = different.agg(F.min("doc_id").alias("least"), F.min_by("start", "doc_id").alias("start"))
+    else:
+        different = different.agg(F.min(F.struct("doc_id", "mark", "start")).alias("lead"))
+        different = different.select("gram", "piece", "n", F.col("lead.doc_id").alias("least"), "lead.mark", "lead.start")
+    different = stored(different, "pieces")
     release(spark)
     shared = different.groupBy("gram").count().where("count > 1")
     wanted = different.join(shared, "gram").select(
-        F.col("least").alias("doc_id"), "mark",
+        F.col("least").alias("doc_id"), *ids[1:],
         F.struct("gram", "piece", "n", "least", "start", (F.col("count") > HOT).alias("hot")).alias("f"),
     )
-    wanted = wanted.groupBy("doc_id", "mark").agg(F.collect_list("f").alias("found"))
-    wanted = thin.join(wanted, ["doc_id", "mark"])
+    wanted = wanted.groupBy(*ids).agg(F.collect_list("f").alias("found"))
+    wanted = thin.join(wanted, ids)
     if not unique:
         wanted = wanted.dropDuplicates(["doc_id", "mark"])
     pieces = stored(scan(wanted.select("body", "found"), _cut_pieces, f"{_PIECE}, hot boolean"), "shared")
@@ -399,13 +405,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     spans = F.when(F.col("doc_id") > F.col("least"), F.expr(f"array(named_struct('a', start, 'b', start + n + {tail}))")).otherwise(
         F.expr(f"transform(runs, r -> named_struct('a', start + r.a, 'b', start + r.b + {tail}))")
     )
-    removed = found.join(known, ["gram", "piece", "n"]).select("doc_id", "mark", spans.alias("s")).where("size(s) > 0")
-    removed = stored(removed.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
+    removed = found.join(known, ["gram", "piece", "n"]).select(*ids, spans.alias("s")).where("size(s) > 0")
+    removed = stored(removed.groupBy(*ids).agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
     discard(found, known)
 
     key, other, data, spans = (spare(docs, c) for c in ("key", "mark", "body", "spans"))
-    sides = removed.select(F.col("doc_id").alias(key), F.col("mark").alias(other), F.col("spans").alias(spans))
-    whole = docs.select(*rest, body.alias(data), F.col("doc_id").cast("long").alias(key), mark.alias(other))
-    whole = whole.join(sides, [key, other], "left").select(*rest, data, spans)
+    own = [c.alias(name) for c, name in ((F.col("doc_id").cast("long"), key), (mark, other))][: len(ids)]
+    sides = removed.select(*[F.col(c).alias(name) for c, name in zip(ids, (key, other))], F.col("spans").alias(spans))
+    whole = docs.select(*rest, body.alias(data), *own)
+    whole = whole.join(sides, [key, other][: len(ids)], "left").select(*rest, data, spans)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema[: len(rest)]]
     return scan(whole, _kept(rest), ", ".join([*fields, *(f"{n} {t}" for n, t in _KEPT.items())]))

@@ -40,3 +40,14 @@ def test_runs_of_pieces(monkeypatch, many):
     found = list(bwt.runs_of_pieces(pieces, docs))
     assert found == expected(pieces, docs) and len(found) > 10
     assert list(bwt.runs_of_pieces(pieces[:1], docs[:1])) == []
+
+
+def test_unique_ids_need_no_digest_and_no_sort(spark, monkeypatch):
+    made = {}
+    keep = bwt.stored
+    monkeypatch.setattr(bwt, "stored", lambda df, name: made.setdefault(name, df) and keep(df, name))
+    text = "".join(chr(33 + k * k % 90) for k in range(200))
+    docs = spark.createDataFrame([(1, text), (2, "x" + text), (3, None)], "doc_id long, text string")
+    assert [r.n_removed for r in bwt.dedup(docs).orderBy("doc_id").collect()] == [0, 200, 0]
+    assert "mark" not in made["spots"].columns
+    assert "SortAggregate" not in made["pieces"]._jdf.queryExecution().executedPlan().toString()
