@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.llm.common import spare, stored
+from flowtide.session import discard
 
 GRAM, WINDOW = 1, 2
 LONG = 50
@@ -74,12 +75,15 @@ def repeats(docs: DataFrame, key: str, lines: str, gram: int = GRAM, window: int
     )
     singles = docs.select(F.col(key).alias("k"), F.explode(single).alias("x")).select("k", "x.*", F.lit(1).alias("m"))
     runs = stored(runs.unionByName(singles), "runs")
+    discard(chosen, shared)
     first = stored(
         runs.groupBy("r").agg(F.min(F.struct("k", "s")).alias("first"), F.max(F.struct("k", "s")).alias("last")).where("first < last"), "first"
     )
     later = runs.join(first.drop("last"), "r").where(F.struct("k", "s") > F.col("first"))
     gone = F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("s") + F.col("m") - 1)))
-    return later.groupBy("k").agg(F.array_sort(F.array_distinct(gone)).alias("gone")).withColumnRenamed("k", key)
+    found = stored(later.groupBy("k").agg(F.array_sort(F.array_distinct(gone)).alias("gone")).withColumnRenamed("k", key), "gone")
+    discard(runs, first)
+    return found
 
 
 def dedup(
@@ -105,11 +109,12 @@ def dedup(
     full = F.filter(F.transform(lines, lambda x, i: F.named_struct(F.lit("i"), i, F.lit("x"), F.btrim(x, F.lit(BLANKS)))), lambda p: p["x"] != "")
     parts = rows.select(F.struct(F.col(key).alias("a"), F.col(n).alias("b")).alias("k"), F.col(n).alias("_n"), full.alias("f"))
     parts = parts.select("k", "_n", F.transform("f", lambda p: p["x"]).alias("l"), F.transform("f", lambda p: p["i"]).alias("i"))
-    gone = repeats(parts, "k", "l", gram, window, words).select(F.col("k.b").alias("_n"), "gone")
-    places = parts.select("_n", "i").join(gone, "_n").select(
+    gone = repeats(parts, "k", "l", gram, window, words)
+    places = parts.select("_n", "i").join(gone.select(F.col("k.b").alias("_n"), "gone"), "_n").select(
         "_n", F.transform("gone", lambda g: F.element_at("i", g + 1)).alias("removed")
     )
     places = stored(places, "removed")
+    discard(gone)
     gone_at = spare(docs, "_gone")
     none = F.array().cast("array<int>")
     removed = F.coalesce(gone_at, none)

@@ -38,11 +38,13 @@ def shingles(text: str, size: int) -> list[bytes]:
     return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
-def votes(runs: Sequence[bytes], seed: int) -> np.ndarray:
-    """For each of 64 bits: twice the number of hashes that have it, less the number of hashes."""
+def votes(runs: Sequence[bytes], seed: int, seen: list[np.ndarray] | None = None) -> np.ndarray:
+    """For each of 64 bits: twice the number of hashes that have it, less the number of hashes. The hashes are added to ``seen``."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(runs), BLOCK):
         hashes = np.array([xxhash.xxh64_intdigest(r, seed) for r in runs[at : at + BLOCK]], "<u8")
+        if seen is not None:
+            seen.append(hashes)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
     return 2 * total - len(runs)
@@ -139,8 +141,29 @@ SAMPLE, OFTEN, MOST = 10_000, 5, 1_000_000
 STARS = 2
 
 
-def _wide_votes(runs: Sequence[bytes]) -> np.ndarray:
-    return np.concatenate([votes(runs, seed) for seed in (1, 2, 3, 4)])
+# Bits of the parities of a set. Every element in which two sets differ changes one at most, so sets with more differing parities than
+# similar ones have differing elements need not be compared; 128 bytes tell that of nearly all unlike sets of up to 2 000 shingles.
+PARITIES = 1024
+
+
+def _wide_votes(runs: Sequence[bytes], seen: list[np.ndarray] | None = None) -> np.ndarray:
+    return np.concatenate([votes(runs, seed, seen if seed == 1 else None) for seed in (1, 2, 3, 4)])
+
+
+def _parities(hashes: list[np.ndarray]) -> bytes:
+    """How many different hashes fall on each of PARITIES places, but for the last bit of these counts forgotten."""
+    places = np.unique(np.concatenate(hashes or [np.zeros(0, "<u8")])) % np.uint64(PARITIES)
+    return np.packbits(np.bincount(places.astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
+
+def _words(column: str, bits: int) -> Column:
+    """The 64-bit words of a binary column."""
+    return F.array(*[F.conv(F.hex(F.substring(column, 8 * k + 1, 8)), 16, -10).cast("long") for k in range(bits // 64)])
+
+
+def _apart(x: str, y: str) -> Column:
+    """In how many bits two arrays of words differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
 
 
 def _segments(prints: list[bytes]) -> np.ndarray:
@@ -219,7 +242,7 @@ def _prefixes(rows: DataFrame, size: int, similarity: float) -> DataFrame:
     keys = stored(scan(rows, build, "n long, m int, i int, k long, short boolean"), "prefixes")
     # Most shingles are in one prefix only; they go before anything is carried along.
     release(rows.sparkSession)
-    often = stored(keys.groupBy("k").agg(F.min("n").alias("x"), F.max("n").alias("y")).where("x < y").select("k"), "often")
+    often = stored(keys.groupBy("k").count().where("count > 1").select("k"), "often")  # a set holds k once
     release(rows.sparkSession)
     shared_keys = stored(keys.join(often.hint("merge"), "k"), "shared")
     discard(keys, often)
@@ -262,35 +285,44 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     def build():
         def step(batch):
-            runs = [shingles(t, size) for t in texts(batch, 1)]
-            yield {
-                "n": batch.column(0), "fp": [packed(_wide_votes(r) > 0).tobytes() for r in runs],
-                "e": [xxhash.xxh3_128_digest(b"\n".join(sorted(set(r)))) for r in runs],
-            }
+            out: dict[str, list] = {c: [] for c in ("fp", "e", "m", "odd")}
+            for t in texts(batch, 1):
+                runs, seen = shingles(t, size), []
+                fp, each = packed(_wide_votes(runs, seen) > 0).tobytes(), set(runs)
+                for c, v in zip(out.values(), (fp, xxhash.xxh3_128_digest(b"\n".join(sorted(each))), len(each), _parities(seen))):
+                    c.append(v)
+            yield {"n": batch.column(0)} | out
 
         return step
 
-    prints = stored(scan(rows.select(n, text), build, "n long, fp binary, e binary"), "prints")
-    one = stored(prints.groupBy("e").agg(F.min(F.struct("n", "fp")).alias("o")).select("e", "o.*"), "distinct")
+    prints = stored(scan(rows.select(n, text), build, "n long, fp binary, e binary, m int, odd binary"), "prints")
+    one = stored(prints.groupBy("e").agg(F.min(F.struct("n", "fp", "m", "odd")).alias("o")).select("e", "o.*"), "distinct")
 
-    words_of = F.array(*[F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(4)])
-    wide = stored(one.select("n", words_of.alias("f")), "wide")
+    wide = stored(one.select("n", "m", _words("fp", 256).alias("f"), _words("odd", PARITIES).alias("p")), "wide")
+    all_prints, firsts = prints, one
+    prints, one = stored(prints.select("n", "e"), "prints"), stored(one.select("n", "e"), "distinct")
 
     def verified(met: DataFrame) -> DataFrame:
-        sides = met.join(rows.select(F.col(n).alias("a"), F.col(text).alias("t")), "a")
-        sides = sides.join(rows.select(F.col(n).alias("b"), F.col(text).alias("u")), "b")
-        release(docs.sparkSession)
+        """Those of the pairs that are similar enough. Only texts that their parities don't part are read and shuffled."""
+        met = met.join(wide.select(F.col("n").alias("a"), F.col("m").alias("x"), F.col("p").alias("p")), "a")
+        met = met.join(wide.select(F.col("n").alias("b"), F.col("m").alias("y"), F.col("p").alias("q")), "b")
+        possible = _apart("p", "q") * (1 + similarity) <= (F.col("x") + F.col("y")) * (1 - similarity) + 1e-6
+        met = stored(met.where(possible).select("a", "b"), "possible")
+        part = stored(met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", n), "part")
+        some = stored(rows.select(n, text).join(part, n), "texts")
+        sides = met.join(some.select(F.col(n).alias("a"), F.col(text).alias("t")), "a")
+        sides = sides.join(some.select(F.col(n).alias("b"), F.col(text).alias("u")), "b")
         good = stored(_alike(sides.select("a", "b", "t", "u"), size, similarity), "alike")
-        release(docs.sparkSession)
+        discard(met, part, some)
         return good
 
     def closest(met: DataFrame) -> DataFrame:
         met = met.join(wide.select(F.col("n").alias("a"), F.col("f").alias("f")), "a")
         met = met.join(wide.select(F.col("n").alias("b"), F.col("f").alias("g")), "b")
-        apart = F.aggregate(F.zip_with("f", "g", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return stored(met.where(apart <= FARTHEST).select("a", "b"), "near")
+        return stored(met.where(_apart("f", "g") <= FARTHEST).select("a", "b"), "near")
 
-    links = verified(closest(_met(one)))
+    links = verified(closest(_met(firsts)))
+    discard(all_prints, firsts)
     found = stored(components(links), "components")
     # The exact join. A few rounds of stars link what is left of dense groups, so that their pairs need not be listed.
     sets = one.select("n").join(rows.select(F.col(n).alias("n"), F.col(text).alias("t")), "n")
