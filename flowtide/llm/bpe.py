@@ -15,7 +15,6 @@ import base64
 import hashlib
 import re
 from array import array
-from functools import cache
 from itertools import chain
 
 import ahocorasick
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import scan, texts
+from flowtide.llm.common import held, scan, texts
 
 # White space as Unicode defines it, which is what \s means to the tokenizer library.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -222,14 +221,14 @@ def read_ranks(lines) -> dict[bytes, int]:
     return {base64.b64decode(t): int(i) for t, i in (line.split() for line in lines if line.strip())}
 
 
-@cache
+@held
 def load(path: str, pattern: str, kind: type[ByteBPE] = ByteBPE) -> ByteBPE:
     """One encoder per worker process; the vocabulary is installed with the tokenizer package on every machine."""
     with open(path, "rb") as lines:
         return kind(read_ranks(lines), pattern)
 
 
-@cache
+@held
 def load_bytes(path: str) -> dict[int, bytes]:
     """The bytes of each id, all that decoding needs: its workers hold no automaton and no memories of an encoder."""
     with open(path, "rb") as lines:

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import spare, stored
+from flowtide.llm.common import numbered, spare, stored
 from flowtide.session import discard
 
 GRAM, WINDOW = 1, 2
@@ -104,7 +104,7 @@ def dedup(
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in new]
     carried = list(dict.fromkeys([*kept, key, text]))
     n = spare(docs, "_n")
-    rows = stored(docs.select(*carried).withColumn(n, F.monotonically_increasing_id()), "rows")
+    rows = numbered(docs.select(*carried), n, stored)
     lines = F.split(F.col(text), "\n", -1)
     full = F.filter(F.transform(lines, lambda x, i: F.named_struct(F.lit("i"), i, F.lit("x"), F.btrim(x, F.lit(BLANKS)))), lambda p: p["x"] != "")
     parts = rows.select(F.struct(F.col(key).alias("a"), F.col(n).alias("b")).alias("k"), F.col(n).alias("_n"), full.alias("f"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowtide.llm.common import hash_sample, scan, spare, stored, texts
+from flowtide.llm.common import hash_sample, numbered, scan, spare, stored, texts
 from flowtide.llm.graph import components
 from flowtide.session import discard, release
 
@@ -281,7 +281,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     prefix shingle at possible places are compared, however many hold it.
     """
     n, k = spare(docs, "_n"), spare(docs, "_k")
-    rows = stored(docs.withColumn(n, F.monotonically_increasing_id()), "rows")
+    rows = numbered(docs, n, stored)
 
     def build():
         def step(batch):
@@ -359,4 +359,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         .agg(F.count("*").alias("m"), F.min(F.struct(F.col(k).isNull(), F.col(k), F.col(n).alias("n"))).alias("o")).where("m > 1").select("root", F.col("o.n").alias("s")), "stay",
     )
     gone = stored(member.join(least, "root").where(F.col(n) != F.col("s")).select(n), "gone")
+    discard(wide, keys, prints, one, named, least)  # the result reads docs and this only
     return rows.join(gone.hint("merge"), n, "left_anti").select(*docs.columns)

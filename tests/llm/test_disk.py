@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import random
 
-from flowtide.llm import line_dedup, simhash
+import pytest
+from flowtide.llm import common, line_dedup, simhash
+from pyspark.sql import functions as F
 
 
 def test_line_dedup_keeps_only_what_its_result_reads(spark, monkeypatch):
@@ -44,3 +46,52 @@ def test_parities_never_part_similar_sets():
             simhash.votes(some, 1, seen)
             prints.append(int.from_bytes(simhash._parities(seen)))
         assert (prints[0] ^ prints[1]).bit_count() <= len(set(runs) ^ set(other))
+
+
+def stored_docs(spark, folder, files=3):
+    """The same texts as rows and as a table of several files."""
+    common = " ".join(f"w{k}" for k in range(80))
+    rows = [(k % 7, f"{common}\nline {k // 2} a\nline {k // 2} b") for k in range(40)] + [(None, None), (None, ""), (9, "x y"), (9, "x y")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(files).write.parquet(str(folder))
+    return spark.read.parquet(str(folder))
+
+
+@pytest.mark.parametrize(("module", "work", "left"), [(line_dedup, line_dedup.dedup, {"removed"}), (simhash, simhash.one_of_each, {"gone"})])
+def test_files_are_read_again_and_not_copied(spark, monkeypatch, tmp_path, module, work, left):
+    made = []
+    keep = module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: made.append((name, keep(df, name))) or made[-1][1])
+    docs = stored_docs(spark, tmp_path / "docs")
+    found = work(docs).collect()
+    assert {name for name, table in made if os.path.exists(table.stored_at)} & {"rows", "prints", "distinct", "wide", "shared", "named", "stay", *left} == left
+    if module is simhash:
+        return
+    # An input that is no table of files gives the same rows.
+    same = work(spark.createDataFrame(docs.orderBy(docs.metadataColumn("_metadata")["file_path"]).collect(), docs.schema).coalesce(1)).collect()
+    assert sorted(map(str, found)) == sorted(map(str, same))
+
+
+def test_numbers_follow_files_and_places(spark, tmp_path):
+    spark.range(1000).repartition(5).write.parquet(str(tmp_path / "a b%20c"))
+    table = spark.read.parquet(str(tmp_path / "a b%20c"))
+    rows = common.numbered(table.where("id > 10").select("id"), "n")
+    own = {r.id: r.n for r in rows.collect()}
+    assert own == {r.id: r.n for r in rows.repartition(3).collect()} and len(set(own.values())) == 989
+    assert {n >> 40 for n in own.values()} == set(range(5)) and rows.columns == ["id", "n"]
+
+
+def test_only_plain_files_are_numbered_in_place(spark, tmp_path):
+    spark.range(20).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert common._is_scan(table) and common._is_scan(table.where("id > 3").selectExpr("id + 1 as k"))
+    for other in (table.withColumn("k", F.rand()), table.limit(5), table.union(table), table.distinct(), table.join(table, "id"), spark.range(3)):
+        assert not common._is_scan(other)
+        assert common.numbered(other, "n").select("n").distinct().count() == other.count()
+
+
+def test_workers_let_go_of_what_later_steps_do_not_use():
+    get = common.held(lambda k: [k])
+    one = common.begun(lambda: get(1))
+    assert common.begun(lambda: get(2)) == [2] and get(1) is one
+    common.begun(lambda: None)
+    assert not common._held and get(1) is not one
