@@ -147,12 +147,16 @@ def _sample(spark, sf):
     return ev.sample_per_class(V.labelled_flows(spark, sf)).select("id", "label", "attack_cat")
 
 
-def matrices(spark, sf):
-    """(prepared training rows, prepared test rows, preprocessor). The rows are stored: fits and figures read them many times."""
+def matrices(spark, sf, keep_test: bool = True):
+    """(prepared training rows, prepared test rows, preprocessor). The rows are stored: fits and figures read them many times.
+
+    Test rows that are read only once need not be (``keep_test``).
+    """
     train, test = (V.labelled_flows(spark, sf, s) for s in ("train", "test"))
     prep = Preprocessor.fit(train)
     keep = ["id", "label", "attack_cat"]
-    return *(materialise(prep.vectors(rows, keep), "matrix") for rows in (train, test)), prep
+    train, test = (prep.vectors(rows, keep) for rows in (train, test))
+    return materialise(train, "matrix"), materialise(test, "matrix") if keep_test else test, prep
 
 
 def evaluated(model, test):
@@ -195,8 +199,8 @@ def stationary(model, rows: DataFrame, c: float = 1.0) -> DataFrame:
 select {_SIZES}, true as probabilities, true as beats_majority, true as stationary, true as balanced_stationary from lf"""))
 def _logreg(spark, sf):
     """Both fits, plain and with class weights, are where their gradients vanish; the plain one is tested."""
-    train, test, _ = matrices(spark, sf)
-    plain, weighted = training.train_logistic(train), training.train_logistic(train, balanced=True)
+    train, test, _ = matrices(spark, sf, keep_test=False)
+    plain, weighted = training.train_logistics(train, [False, True])
     parts = [
         tested(plain, test), stationary(plain, train),
         stationary(weighted, training.class_weights(train)).withColumnRenamed("stationary", "balanced_stationary"),
